@@ -75,7 +75,7 @@ def write_csv(df: DataFrame, path: str, settings: CsvSettings = CsvSettings()) -
         first = True
         for part in parts:
             if first and part.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([header], part.schema.field(0).type)], schema=part.schema)
                 first = False
             yield part
 
