@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is its own bucket and those of its character n-grams, hashed; its vector
-is the mean of their embeddings, a window's vector the mean of its words', and a
+is the mean of their embeddings, a window's vector the mean of its distinct words', and a
 softmax over a linear map of it gives the probability of label 1. Embeddings and
 map are trained together by gradient descent (Adagrad) on windows of a bounded
 sample of labelled texts. A label belongs to a whole text, which is toxic if any
@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .shared import need_columns
 
 BUCKETS, DIMS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 16
+#: A bag of fewer distinct words is averaged as if it had so many: one word, however often repeated, is weak evidence.
+FEW = 8
 #: Windows a step of descent; more would take fewer steps over a small sample.
 BATCH = 512
 _WORD = re.compile(r"[^\W_]+")
@@ -69,11 +71,9 @@ def _logit(model: Model, known: _WordScores, text: str) -> float:
     found = words_of(text)
     if not found:
         return model.bias
-    each = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
-    start = np.arange(0, len(each), WINDOW)
-    count = np.minimum(WINDOW, len(each) - start)
-    # the last, short window counts as a full one: few words are no stronger evidence than many
-    return float((np.add.reduceat(each, start) / np.maximum(count, min(WINDOW, 8))).max()) + model.bias
+    get = known.__getitem__
+    bags = (set(found[i : i + WINDOW]) for i in range(0, len(found), WINDOW))
+    return max(sum(map(get, bag)) / max(len(bag), FEW) for bag in bags) + model.bias
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ...] = (200, 100, 100, 100, 100, 100, 100, 100), rate: float = 0.3) -> Model:
@@ -86,7 +86,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
     for d, text in enumerate(texts):
         found = [ids.setdefault(w, len(ids)) for w in words_of(text)]
         for i in range(0, len(found), WINDOW):
-            part = found[i : i + WINDOW]
+            part = list(dict.fromkeys(found[i : i + WINDOW]))
             rows.append(part + [-1] * (WINDOW - len(part)))
             owner.append(d)
     grid, owner = np.array(rows, np.int64), np.array(owner)
@@ -95,7 +95,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
     np.cumsum([len(e) for e in each], out=first[1:])
     flat = np.concatenate(each)
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
+    emb = rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIMS, 2)).astype(np.float32), np.zeros(2, np.float32)
     memory = [np.full_like(p, 1e-6) for p in (emb, out, bias)]
     target = y[owner]
@@ -114,7 +114,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
         used, place, feats, start, size = words_in(part)
         vec = np.add.reduceat(emb[feats], start) / size[:, None]
         there = (place >= 0)[:, :, None]
-        count = np.maximum(there.sum(1), min(WINDOW, 8))
+        count = np.maximum(there.sum(1), FEW)
         hidden = np.where(there, vec[place], 0).sum(1) / count
         z = hidden @ out + bias
         e = np.exp(z - z.max(1, keepdims=True))
@@ -158,7 +158,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
                 done += 1
                 if done >= n:
                     break
-    return Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
+    weight = emb @ (out[:, 1] - out[:, 0])
+    weight[np.bincount(flat, minlength=BUCKETS) == 0] = 0  # what no text showed says nothing
+    return Model(weight, float(bias[1] - bias[0]))
 
 
 def held_out(id_col: str):
@@ -166,12 +168,12 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1000, most_clean: int = 2000, longest: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1000, most_clean: int = 3000, longest: int = 20_000) -> Model:
     """Fit on a bounded sample of labelled rows that aren't held out.
 
     At most most_toxic rows of label 1 and most_clean of label 0 come to the
     driver, chosen by a hash of the id, with texts of at most ``longest`` code
-    points: no more than 60 million code points by default, in practice about 8
+    points: no more than 80 million code points by default, in practice about 12
     million. Null labels, ids and texts, and texts without a word, don't count;
     a repeated label row counts once; a repeated id gives each of its texts.
     """
