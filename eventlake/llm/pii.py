@@ -9,8 +9,10 @@ kind     validated by                                         permuted over
 ======== ==================================================== =============================
 card     13 to 19 digits with a right Luhn digit              the other digits; the check
                                                               digit is worked out anew
-phone    ten digits behind a country code or in groups; with  area codes and exchanges from
-         +1 or no code both groups start with 2 to 9          200 on, all lines
+phone    ten digits behind a country code or in groups; bare  such numbers; with +1 or no
+         ones only if area and exchange start with 2 to 9     code, those whose area and
+                                                              exchange lie on the same side
+                                                              of 200
 ssn      nnn-nn-nnnn, no part zero, area neither 666 nor 9nn  such numbers
 ip       four parts up to 255                                 all addresses
 date     a day from 1600 to 2399, as yyyy-mm-dd, dd.mm.yyyy   those days (292,194 of them)
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import need_columns
+from .shared import need_columns, unused
 
 ROUNDS = 10
 # Forms of personal data. A value never starts or ends within a longer run of letters or digits.
@@ -104,12 +106,15 @@ def _phone(v: Column, key: str) -> Column:
     code, own = d.substr(F.lit(1), F.length(d) - 10), F.right(d, F.lit(10))
     part = lambda i, n: _number(own.substr(F.lit(i), F.lit(n)))
     north = code.isin("", "1")
-    p = feistel((part(1, 3) - 200) * 800 + part(4, 3) - 200, part(7, 4), 640_000, 10_000, key, "phone")
-    american = F.concat((200 + F.floor(p["l"] / 800)).cast("string"), (200 + p["l"] % 800).cast("string"), _padded(p["r"], F.lit(4)))
+    area, exchange = part(1, 3), part(4, 3)
+    side = lambda x: (F.when(x >= 200, 200).otherwise(0), F.when(x >= 200, 800).otherwise(200))
+    (a0, na), (e0, ne) = side(area), side(exchange)
+    p = feistel((area - a0) * ne + exchange - e0, part(7, 4), na * ne, 10_000, key, "phone")
+    american = F.concat(_padded(a0 + F.floor(p["l"] / ne), F.lit(3)), _padded(e0 + p["l"] % ne, F.lit(3)), _padded(p["r"], F.lit(4)))
     q = feistel(part(1, 5), part(6, 5), 100_000, 100_000, key, "phone")
     other = F.concat(_padded(q["l"], F.lit(5)), _padded(q["r"], F.lit(5)))
     return (
-        F.when(north & (part(1, 3) >= 200) & (part(4, 3) >= 200), _filled(v, F.concat(code, american)))
+        F.when(north & (v.startswith("+") | ((area >= 200) & (exchange >= 200))), _filled(v, F.concat(code, american)))
         .when(~north, _filled(v, F.concat(code, other)))
         .otherwise(v)
     )
@@ -194,16 +199,17 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         raise ValueError("a key is needed")
     text = F.col(text_col)
     some = text.rlike(QUICK)
-    held = docs.withColumn("_values", F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    held = held.withColumn("_pseudonyms", F.transform("_values", lambda v: pseudonym(v, key)))
-    found = F.size(F.coalesce("_values", F.array().cast("array<string>"))) > 0
+    values, pseudonyms, told = unused(docs, "_values", "_pseudonyms", "_new")
+    held = docs.withColumn(values, F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    held = held.withColumn(pseudonyms, F.transform(values, lambda v: pseudonym(v, key)))
+    found = F.size(F.coalesce(values, F.array().cast("array<string>"))) > 0
     gaps = F.split(text, PATTERN, -1)
-    ends = F.concat(F.col("_pseudonyms"), F.array(F.lit("")))
+    ends = F.concat(F.col(pseudonyms), F.array(F.lit("")))
     new = F.array_join(F.zip_with(gaps, ends, lambda g, p: F.concat(g, p)), "")
-    changed = F.size(F.filter(F.zip_with("_values", "_pseudonyms", lambda a, b: a != b), lambda x: x))
-    held = held.withColumn("_new", F.when(found, new).otherwise(text))
+    changed = F.size(F.filter(F.zip_with(values, pseudonyms, lambda a, b: a != b), lambda x: x))
+    held = held.withColumn(told, F.when(found, new).otherwise(text))
     if count_col:
         held = held.withColumn(count_col, F.when(found, changed).otherwise(0).cast("bigint"))
     names = [c for c in docs.columns if c != count_col]
-    out = [F.col("_new").alias(c) if c == text_col else F.col(c) for c in names]
+    out = [F.col(told).alias(c) if c == text_col else F.col(c) for c in names]
     return held.select(*out, *([count_col] if count_col else []))

@@ -45,6 +45,14 @@ def test_invalid_and_plain_texts_stay(spark):
     assert changed(spark, texts) == texts
 
 
+def test_phones_with_a_code_need_no_valid_area(spark):
+    phones = [f"+1 ({a}) {e}-{n}" for a in ("017", "136", "319") for e in ("555", "055") for n in ("7713", "0000")]
+    new = changed(spark, phones)
+    assert len(set(new)) == len(phones) and not set(new) & set(phones)
+    side = lambda p: (p[4] > "1", p[9] > "1")
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", b) and side(a) == side(b) for a, b in zip(phones, new))
+
+
 def test_permutations_are_one_to_one(spark):
     for nl, nr in ((54, 5411 // 100), (7, 3), (1, 5)):
         df = spark.range(nl * nr).select(pii.feistel(F.floor(F.col("id") / nr), F.col("id") % nr, nl, nr, KEY, "t").alias("p"))
@@ -59,11 +67,11 @@ def test_permutations_are_one_to_one(spark):
 def test_long_text_columns_and_count(spark):
     long = "word " * 40_000 + "10.0.0.1" + " end" * 40_000 + "a" * 200_000
     df = spark.createDataFrame([(1, long, "l", 7), (1, long, "l", 7), (2, None, "l", 7)], "doc_id long, text string, _values string, n long")
-    df = df.withColumnRenamed("_values", "extra")
+    df = df.withColumn("_new", F.lit("kept"))
     done = pii.pseudonymise(df, KEY, count_col="n")
-    assert done.columns == ["doc_id", "text", "extra", "n"]
+    assert done.columns == ["doc_id", "text", "_values", "_new", "n"]
     rows = done.orderBy("doc_id").collect()
-    assert [r.n for r in rows] == [1, 1, 0]
+    assert [r.n for r in rows] == [1, 1, 0] and {(r["_values"], r["_new"]) for r in rows} == {("l", "kept")}
     assert rows[0].text == rows[1].text and "10.0.0.1" not in rows[0].text and rows[0].text.startswith(long[:200_000])
     assert pii.pseudonymise(df.limit(0), KEY).collect() == []
 
