@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import need_columns, written
+from .shared import need_columns, unused, written
 
 WINDOW = 8
 #: A window needs so many tokens that aren't placeholders, or it says too little.
@@ -28,7 +28,7 @@ UNITS = (
 ).split()
 #: Marks a name's first letter: a capital behind a small letter, digit or comma and one space (not at a sentence's start).
 _NAME = "\u0002"
-_TOKEN = rf"{_NAME}?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*"
+_TOKEN = rf"{_NAME}?[\p{{L}}\p{{M}}]+|[0-9]++(?:[.,:/][0-9]++)*+"
 
 
 def tokens(text: Column) -> Column:
@@ -125,5 +125,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs without those that contain a benchmark item (see matches); a row without an id goes by its text."""
-    found = matches(docs, benchmark, id_col, text_col, item_col).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", _key(id_col, text_col)).join(found, "_key", "left_anti").select(*docs.columns)
+    (name,) = unused(docs, "_key")
+    found = matches(docs, benchmark, id_col, text_col, item_col).select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, _key(id_col, text_col)).join(found, name, "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import need_columns
+from .shared import need_columns, unused
 
 BUCKETS, DIMS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 16
 #: A bag of fewer distinct words is averaged as if it had so many: one word, however often repeated, is weak evidence.
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     driver, chosen by a hash of the id, with texts of at most ``longest`` code
     points: no more than 80 million code points by default, in practice about 12
     million. Null labels, ids and texts, and texts without a word, don't count;
-    a repeated label row counts once; a repeated id gives each of its texts.
+    a repeated label row counts once; a repeated id gives the least of its texts.
     """
     need_columns(docs, id_col, text_col)
     need_columns(labels, id_col, label_col)
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = lambda v, n: marks.where(F.col("_label") == v).distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = pick(1, most_toxic).union(pick(0, most_clean))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= longest)
-    rows = found.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text").toArrow()
+    rows = found.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).toArrow()
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("_id", "_label", "_text"))))
     return fit([r[2] for r in rows], [r[1] for r in rows])
 
@@ -210,4 +210,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score is below the threshold."""
-    return score(docs, model, text_col, "_score").where(F.col("_score") < threshold).select(*docs.columns)
+    (name,) = unused(docs, "_score")
+    return score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import need_columns
+from .shared import need_columns, unused
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _HOST, _PATH = re.compile("[/?#]"), re.compile("[?#]")
@@ -105,6 +105,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col:
             yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
     new = ("host", "path", "rule", "verdict")
+    (name,) = unused(pages, "_judged")
     kept = [c for c in pages.columns if c not in new]
-    found = pages.select(*(pages[c] for c in kept), judged(F.col(url_col).cast("string")).alias("_judged"))
-    return found.select(*kept, *(F.col(f"_judged.{c}").alias(c) for c in new))
+    found = pages.select(*(pages[c] for c in kept), judged(F.col(url_col).cast("string")).alias(name))
+    return found.select(*kept, *(F.col(name)[c].alias(c) for c in new))

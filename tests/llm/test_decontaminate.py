@@ -44,6 +44,13 @@ def test_empty_and_short(spark):
     assert d.decontaminated(docs, bench.limit(0)).count() == 1
 
 
+def test_one_very_long_number(spark):
+    digits = ",".join(str(i) for i in range(100_000))
+    docs = spark.createDataFrame([(1, digits), (2, digits + " " + ITEM)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [r.doc_id for r in d.matches(docs, bench).collect()] == [2]
+
+
 def test_matches_brute_force(spark, data):
     """Verbatim items: the documents that hold most of an item's 8-word windows are exactly those found."""
     docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")

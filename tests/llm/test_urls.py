@@ -40,3 +40,9 @@ def test_column(spark):
     assert sorted((r.page_id, r.rule, r.verdict) for r in found.where("page_id <> 3").collect()) == [(1, "www.example.com/en/", "allow")] * 2 + [(2, "net/es/", "block"), (4, "com/", "allow")]
     assert [(r.host, r.rule, r.verdict) for r in found.where("page_id = 3").collect()] == [("", None, "allow")]
     assert urls.judge_urls(pages.limit(0), URL_RULES).collect() == []
+
+
+def test_columns_with_helper_names_stay(spark):
+    pages = spark.createDataFrame([(1, "https://example.com/en/x", "a", "b")], "page_id long, url string, _judged string, host string")
+    out = urls.judge_urls(pages, [("block", "example.com", "/en/")])
+    assert [tuple(r) for r in out.collect()] == [(1, "https://example.com/en/x", "a", "example.com", "/en/x", "example.com/en/", "block")]
