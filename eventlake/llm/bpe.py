@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import need_columns
 
-#: Code points a text is encoded in at once, and rows or ids that go back to Spark at once.
-PIECE, ROWS, IDS = 1 << 16, 1000, 1 << 21
+#: Code points a text is encoded in at once; rows and bytes of text or ids that are taken from a batch and go back to Spark at once.
+PIECE, ROWS, BYTES = 1 << 16, 1000, 1 << 22
 #: Behind any character that isn't white space, a space or line feed always starts a new
 #: match of the pre-splitting pattern: no match goes on from another character to white space.
 _SAFE = re.compile(r"(?<=\S)[ \n]")
@@ -48,64 +49,90 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def _slices(rows: Iterator[pa.RecordBatch], column: str, weight) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of the batches with few rows and a bounded weight (one row at least), and the column's values there."""
+def packed(enc: tiktoken.Encoding, text: str | None, bits: int = 32, never: int | None = None) -> bytes:
+    """The ids of a text as little-endian integers of so many bits; an id that doesn't fit, or is ``never``, is an error."""
+    if not text:
+        return b""
+    ids = encode_text(enc, text)
+    if bits == 16 and (ids.max() >= 1 << 16 or (never is not None and (ids == never).any())):
+        raise ValueError("an id is the separator's or needs more than 16 bits")
+    return ids.astype("<u2" if bits == 16 else "<u4").tobytes()
+
+
+def unpacked(enc: tiktoken.Encoding, ids: bytes | None) -> bytes:
+    """The bytes that packed 32-bit ids stand for."""
+    return enc.decode_bytes(np.frombuffer(ids, "<u4").tolist()) if ids else b""
+
+
+def _slices(rows: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of few rows and few bytes in a column (one row at least); no value leaves Arrow here."""
     for batch in rows:
-        values, first, held = batch.column(column).to_pylist(), 0, 0
-        for i, v in enumerate(values):
-            w = weight(v)
-            if i > first and (held + w > IDS or i - first >= ROWS):
-                yield batch.slice(first, i - first), values[first:i]
-                first, held = i, 0
-            held += w
-        if first < len(values):
-            yield batch.slice(first), values[first:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, first = np.cumsum(sizes), 0
+        while first < batch.num_rows:
+            held = int(total[first - 1]) if first else 0
+            last = min(first + ROWS, max(first + 1, int(np.searchsorted(total, held + BYTES, "right"))))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def _added(df: DataFrame, source: str, keep: list[str] | None, made: dict[str, Callable], ranks: str, pattern: str) -> DataFrame:
+    """df (its columns ``keep``, all by default) with binary columns, each a function of the encoding and of source or of the column made before it: one pass."""
+    stay = [c for c in (df.columns if keep is None else keep) if c not in made]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks, pattern)
+        for part in _slices(rows, source):
+            out = []
+            values = part.column(source)
+            for f in made.values():
+                values = pa.array((f(enc, v.as_py()) for v in values), pa.binary())
+                out.append(values)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), *out], [*stay, *made])
+
+    need = list(dict.fromkeys([*stay, source]))
+    kinds = [f for f in df.select(*stay).schema.fields] if stay else []
+    return df.select(*need).mapInArrow(run, StructType([*kinds, *(StructField(c, BinaryType()) for c in made)]))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids_col: the token ids of each whole text, packed as little-endian unsigned 32-bit integers.
+def encode(
+    docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bits: int = 32, never: int | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """docs with ids_col: the token ids of each whole text, packed as little-endian unsigned integers of 32 bits (or 16).
 
     Null and empty texts have no ids (an empty value). Texts of any length are
     split at safe boundaries first, so the result is the whole text's. Strings
-    of special tokens are ordinary text. All other columns stay as they are; a
-    column named ids_col is replaced. Rows are handled one by one: ties,
-    repeated rows and empty tables need no rule.
+    of special tokens are ordinary text. With 16 bits an id that needs more, or
+    equals ``never`` (a separator), is an error. Other columns stay as they are,
+    or only those named in keep; a column named ids_col is replaced. Rows are
+    handled one by one: ties, repeated rows and empty tables need no rule.
     """
     need_columns(docs, text_col)
-    kept = docs.drop(ids_col)
+    return _added(docs, text_col, keep, {ids_col: lambda enc, t: packed(enc, t, bits, never)}, ranks, pattern)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks, pattern)
-        for part, texts in _slices(rows, text_col, lambda t: len(t or "")):
-            ids = pa.array([encode_text(enc, t).astype("<u4").tobytes() if t else b"" for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
-
-    return kept.mapInArrow(run, _schema(kept, ids_col))
 
-
-def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """tokens with bytes_col: the raw bytes that each row's packed ids stand for.
+def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """tokens with bytes_col: the raw bytes that each row's packed 32-bit ids stand for.
 
     Bytes, not text: ids may be cut within a character. Null or empty ids give
     empty bytes; an id without a rank is an error. A column named bytes_col is
-    replaced, all others stay.
+    replaced, all others stay, or only those named in keep.
     """
     need_columns(tokens, ids_col)
-    kept = tokens.drop(bytes_col)
+    return _added(tokens, ids_col, keep, {bytes_col: unpacked}, ranks, pattern)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks, pattern)
-        for part, packed in _slices(rows, ids_col, lambda b: len(b or b"") // 4):
-            raw = pa.array([enc.decode_bytes(np.frombuffer(b, "<u4").tolist()) if b else b"" for b in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, raw], [*part.schema.names, bytes_col])
-
-    return kept.mapInArrow(run, _schema(kept, bytes_col))
 
+def round_trip(
+    docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None
+) -> DataFrame:
+    """docs with both encode's ids_col and decode's bytes_col of those very ids, in one pass through Python.
 
-def _schema(df: DataFrame, added: str):
-    return StructType([*df.schema.fields, StructField(added, BinaryType())])
+    The rules of both hold; columns of these two names are replaced.
+    """
+    need_columns(docs, text_col)
+    return _added(docs, text_col, keep, {ids_col: packed, bytes_col: unpacked}, ranks, pattern)
 
 
 def n_tokens(ids_col: str = "ids"):
-    """Column: how many ids a packed value holds."""
+    """Column: how many ids a packed 32-bit value holds."""
     return F.expr(f"cast(octet_length(`{ids_col}`) div 4 as bigint)")

@@ -35,10 +35,9 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANKS, PATTERN).drop("text")
-    decoded = bpe.decode(encoded, RANKS, PATTERN)
-    return decoded.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Each document's token count and the hashes of its ids and of the bytes that they decode to."""
+    done = bpe.round_trip(read_table(spark, sf_dir, "documents"), RANKS, PATTERN, keep=["doc_id"])
+    return done.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +49,11 @@ def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("text")
+    """Each document's token count, found in flat token files of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
     path = new_path(spark, "tokens")
-    token_scan.write_token_files(bpe.encode(docs, RANKS, PATTERN).select("ids"), path)
-    return token_scan.document_lengths(token_scan.read_blocks(spark, path))
+    token_scan.write_token_files(bpe.encode(docs, RANKS, PATTERN, bits=16, never=token_scan.SEPARATOR, keep=[]), path)
+    return token_scan.with_documents(token_scan.document_lengths(spark, path), token_scan.places(docs, "doc_id"))
 
 
 def op9_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

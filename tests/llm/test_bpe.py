@@ -22,6 +22,9 @@ def test_whole_texts(spark):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n == len(ids)
         assert bytes(r.decoded) == text.encode()
     assert bpe.encode(docs.limit(0), RANKS, PATTERN).collect() == []
+    both = bpe.round_trip(docs, RANKS, PATTERN, keep=["doc_id"])
+    assert both.columns == ["doc_id", "ids", "decoded"]
+    assert [(r.doc_id, r.ids, r.decoded) for r in both.orderBy("doc_id").collect()] == [(r.doc_id, r.ids, r.decoded) for r in done]
 
 
 def test_pieces_are_safe():
@@ -40,29 +43,67 @@ def test_raw_bytes_of_cut_ids(spark):
     assert "漢字🙂".encode().startswith(raw[0]) and raw[1:] == [b"", b""]
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
-def test_scan_stitches_blocks(spark, tmp_path, block):
+def small_blocks(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+
+@pytest.mark.parametrize(("block", "separator"), [(9, 50256), (32, 257), (33, 0)])
+def test_scan_stitches_blocks(spark, tmp_path, block, separator):
     rng = np.random.default_rng(block)
     lengths = [0, 5, 0, 0, 17, 1, 3, 0]
-    ids = [rng.integers(0, 50_000, n).astype("<u4") for n in lengths]
-    docs = spark.createDataFrame([(i.tobytes(),) for i in ids], "ids binary").coalesce(1)
-    token_scan.write_token_files(docs, f"{tmp_path}/t")
+    # bytes that look like the separator at odd places, and halves of it
+    pool = [i for i in (0x50C4, 0xC450 - 1, 0xC4C4, 0x5050, 0xC400, 0x0050, 258, 1, 256, 0xBBEF) if i != separator]
+    ids = [rng.choice(pool, n).astype("<u4") for n in lengths]
+    ids[1][:2] = [0xBBEF, 0x11BF]
+    docs = spark.createDataFrame([(i.tobytes(), k) for k, i in enumerate(ids)] + [(None, 8)], "ids binary, file long").coalesce(1)
+    token_scan.write_token_files(token_scan.narrow(docs, separator=separator), f"{tmp_path}/t", separator=separator)
     (file,) = list((tmp_path / "t").glob("part-*"))
     flat = np.frombuffer(file.read_bytes(), "<u2")
-    assert flat.tolist() == [x for i in ids for x in [*i.tolist(), 50256]]
+    assert flat.tolist() == [x for i in ids for x in [*i.tolist(), separator]] + [separator]
     (tmp_path / "open").mkdir()
     (tmp_path / "open" / "a.bin").write_bytes(flat.tobytes() + np.array([7, 8], "<u2").tobytes())
     (tmp_path / "open" / "b.bin").write_bytes(b"")
-    blocks = token_scan.read_blocks(spark, f"{tmp_path}/open", block)
-    found = sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in token_scan.document_lengths(blocks.repartition(3), block=block).collect())
-    starts = np.concatenate([[0], np.cumsum([n + 1 for n in lengths])]).tolist()
-    assert found == [(i, starts[i], n, i < len(lengths)) for i, n in enumerate([*lengths, 2])]
-
-
-def test_separator_in_a_document_is_an_error(spark, tmp_path):
+    (tmp_path / "open" / "c.bin").write_bytes(flat[1:].tobytes())  # begins as a byte order mark does
+    (tmp_path / "open" / "d.bin").write_bytes(np.array([7, 8, 9], "<u2").tobytes())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        small_blocks(spark, block)
+        found = sorted((r.file, r.ordinal, r.start, r.n_tokens, r.closed) for r in token_scan.document_lengths(spark, f"{tmp_path}/open", separator).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = []
+    for name, sizes in (("a.bin", [*lengths, 0, 2]), ("c.bin", [*lengths[1:], 0]), ("d.bin", [3])):
+        starts = np.concatenate([[0], np.cumsum([n + 1 for n in sizes])]).tolist()
+        want += [(name, i, starts[i], n, not (name in ("a.bin", "d.bin") and i == len(sizes) - 1)) for i, n in enumerate(sizes)]
+    assert found == want
+
+
+def test_scan_edges(spark, tmp_path):
     docs = spark.createDataFrame([(np.array([50256], "<u4").tobytes(),)], "ids binary")
     with pytest.raises(Exception, match="separator"):
-        token_scan.write_token_files(docs, f"{tmp_path}/t")
+        token_scan.narrow(docs).collect()
+    with pytest.raises(Exception, match="separator"):
+        bpe.encode(spark.sql("select 'Hello' as text"), RANKS, PATTERN, bits=16, never=15496).collect()
+    token_scan.write_token_files(docs.limit(0), f"{tmp_path}/none")
+    assert token_scan.document_lengths(spark, f"{tmp_path}/none").collect() == []
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="odd number"):
+        token_scan.document_lengths(spark, f"{tmp_path}/odd").collect()
+
+
+def test_scan_finds_each_row_again(spark, tmp_path):
+    docs = spark.range(1000).repartition(3).selectExpr("id", "'clash' as file", "repeat('a b ', cast(id % 50 as int)) as text")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    token_scan.write_token_files(bpe.encode(docs, RANKS, PATTERN, bits=16, never=50256, keep=["file"]), f"{tmp_path}/t", rows_a_file=100)
+    at = token_scan.places(docs, "id", rows_a_file=100)
+    found = token_scan.with_documents(token_scan.document_lengths(spark, f"{tmp_path}/t"), at).collect()
+    enc = bpe.encoding(RANKS, PATTERN)
+    assert {r.id: r.n_tokens for r in found} == {i: len(enc.encode_ordinary("a b " * (i % 50))) for i in range(1000)}
+    with pytest.raises(Exception, match="differ"):
+        token_scan.with_documents(token_scan.document_lengths(spark, f"{tmp_path}/t"), at.where("id <> 5")).collect()
 
 
 def test_queries_agree_with_the_library(spark, data):
@@ -75,5 +116,5 @@ def test_queries_agree_with_the_library(spark, data):
         want = ids[r.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(want.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
-    assert sorted(r.n_tokens for r in op8_separator_scan(spark, data).collect()) == sorted(map(len, ids.values()))
+    assert {r.doc_id: r.n_tokens for r in op8_separator_scan(spark, data).collect()} == {i: len(x) for i, x in ids.items()}
     assert public_tokenizers.PATTERN == PATTERN
