@@ -34,8 +34,7 @@ def pseudonyms_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (packed 32-bit integers), and whether decoding them gives the text again."""
-    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), RANKS, PATTERN)
-    decoded = bpe.decode(encoded, RANKS, PATTERN)
+    decoded = bpe.round_trip(docs, RANKS, PATTERN, keep=["doc_id", "text", "lang", "source"])
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select("doc_id", "lang", "source", bpe.n_tokens("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
 
