@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -29,8 +29,8 @@ BUCKETS, DIMS, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 16
 FEW = 8
 #: How many clean windows a toxic one counts as in training; there are far fewer of them.
 TOXIC_WEIGHT = 3.0
-#: Windows a step of descent; more would take fewer steps over a small sample.
-BATCH = 512
+#: Windows a step of descent; steps of each round, and their rate.
+BATCH, STEPS, RATE = 512, (400, 200, 200, 200, 200, 200, 200, 200), 0.6
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -78,7 +78,7 @@ def _logit(model: Model, known: _WordScores, text: str) -> float:
     return max(sum(map(get, bag)) / max(len(bag), FEW) for bag in bags) + model.bias
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ...] = (400, 200, 200, 200, 200, 200, 200, 200), rate: float = 0.6) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ...] = STEPS, rate: float = RATE) -> Model:
     """Train on a list of texts. Without texts of both labels: a constant score."""
     y = np.array(labels, bool)
     if not len(y) or y.all() or not y.any():
@@ -91,63 +91,61 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
             part = list(dict.fromkeys(found[i : i + WINDOW]))
             rows.append(part + [-1] * (WINDOW - len(part)))
             owner.append(d)
-    grid, owner = np.array(rows, np.int64), np.array(owner)
-    each = [np.array(buckets(w)) for w in ids]
-    first = np.zeros(len(each) + 1, np.int64)
-    np.cumsum([len(e) for e in each], out=first[1:])
-    flat = np.concatenate(each)
+    grid, owner = np.array(rows, np.int32), np.array(owner)
+    each = [buckets(w) for w in ids]
+    size = np.array([len(e) for e in each])
+    first = np.cumsum(size) - size
+    used, flat = np.unique(np.concatenate(each), return_inverse=True)  # only buckets that some text shows are trained
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32)
+    emb = rng.normal(0, 0.05, (DIMS, len(used))).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIMS, 2)).astype(np.float32), np.zeros(2, np.float32)
     memory = [np.full_like(p, 1e-6) for p in (emb, out, bias)]
     target = y[owner]
+    local = np.empty(len(used), np.int64)  # a step's buckets in a short list
 
-    def words_in(part: np.ndarray):
-        """Distinct words of some windows, and where their buckets lie in one list."""
-        used, place = np.unique(part, return_inverse=True)
-        if used[0] < 0:
-            used, place = used[1:], place.reshape(part.shape) - 1
+    def descend(at: np.ndarray) -> None:
+        part, aim = grid[at], target[at]
+        held, place = np.unique(part, return_inverse=True)  # a step's distinct words; the first may stand for no word
         place = place.reshape(part.shape)
-        size = first[used + 1] - first[used]
-        start = np.cumsum(size) - size
-        return used, place, flat[np.repeat(first[used] - start, size) + np.arange(size.sum())], start, size
-
-    def forward(part: np.ndarray):
-        used, place, feats, start, size = words_in(part)
-        vec = np.add.reduceat(emb[feats], start) / size[:, None]
-        there = (place >= 0)[:, :, None]
-        count = np.maximum(there.sum(1), FEW)
-        hidden = np.where(there, vec[place], 0).sum(1) / count
+        held = np.maximum(held, 0)
+        n = size[held]
+        start = np.cumsum(n) - n
+        feats = flat[np.repeat(first[held] - start, n) + np.arange(n.sum())]
+        vec = (np.add.reduceat(emb[:, feats], start, axis=1) / n).T
+        there = part >= 0
+        count = np.maximum(there.sum(1), FEW)[:, None].astype(np.float32)
+        hidden = np.where(there[:, :, None], vec[place], 0).sum(1) / count
         z = hidden @ out + bias
         e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True), hidden, count, place, feats, start, size
-
-    def descend(at: np.ndarray) -> None:
-        part, aim = grid[at], np.eye(2, dtype=np.float32)[target[at].astype(int)]
-        p, hidden, count, place, feats, start, size = forward(part)
-        share = np.where(target[at], TOXIC_WEIGHT, 1.0)[:, None]
-        dz = ((p - aim) * share / share.sum()).astype(np.float32)
-        dh = (dz @ out.T) / count
-        seen = place >= 0
-        word = place[seen]
-        order = np.argsort(word, kind="stable")
-        spread = np.repeat(dh, seen.sum(1), axis=0)[order]
-        bound = np.searchsorted(word[order], np.arange(len(start)))
-        dv = np.add.reduceat(spread, bound) / size[:, None]
-        df = np.repeat(dv, size, axis=0)
-        order = np.argsort(feats, kind="stable")
-        which, bound = np.unique(feats[order], return_index=True)
-        de = np.add.reduceat(df[order], bound)
-        memory[0][which] += de * de
-        emb[which] -= rate * de / np.sqrt(memory[0][which])
+        share = np.where(aim, TOXIC_WEIGHT, 1.0)[:, None]
+        dz = ((e / e.sum(1, keepdims=True) - np.eye(2)[aim.astype(int)]) * share / share.sum()).astype(np.float32)
+        dh = np.repeat((dz @ out.T) / count, WINDOW, axis=0)[there.ravel()]
+        word = place[there]
+        seen = np.zeros(len(used), bool)
+        seen[feats] = True
+        which = np.flatnonzero(seen)
+        local[which] = np.arange(len(which))
+        feats = local[feats]
+        for k in range(DIMS):
+            dv = np.bincount(word, dh[:, k], len(held)) / n
+            grad = np.bincount(feats, np.repeat(dv, n), len(which)).astype(np.float32)
+            total = memory[0][k][which] + grad * grad
+            memory[0][k][which] = total
+            emb[k][which] -= rate * grad / np.sqrt(total)
         for k, (param, grad) in enumerate(((out, hidden.T @ dz), (bias, dz.sum(0))), 1):
             memory[k] += grad * grad
             param -= rate * grad / np.sqrt(memory[k])
 
+    def difference() -> tuple[np.ndarray, float]:
+        """Each bucket's part of the difference of the two logits, and the biases' difference."""
+        return (out[:, 1] - out[:, 0]) @ emb, float(bias[1] - bias[0])
+
     active = np.arange(len(grid))
     for turn, n in enumerate(steps):
         if turn:
-            p = np.concatenate([forward(grid[i : i + 4096])[0][:, 1] for i in range(0, len(grid), 4096)])
+            part, base = difference()
+            word = np.append(np.add.reduceat(part[flat], first) / size, 0)  # the last stands for no word
+            p = 1 / (1 + np.exp(-np.clip(word[grid].sum(1) / np.maximum((grid >= 0).sum(1), FEW) + base, -60, 60)))
             best = np.zeros(len(y))
             np.maximum.at(best, owner, p)
             # of toxic texts the windows that look most toxic, of clean ones those that look toxic at all, and a share of the rest
@@ -161,9 +159,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
                 done += 1
                 if done >= n:
                     break
-    weight = emb @ (out[:, 1] - out[:, 0])
-    weight[np.bincount(flat, minlength=BUCKETS) == 0] = 0  # what no text showed says nothing
-    return Model(weight, float(bias[1] - bias[0]))
+    weight = np.zeros(BUCKETS, np.float32)  # what no text showed says nothing
+    weight[used], base = difference()
+    return Model(weight, base)
 
 
 def held_out(id_col: str):
@@ -171,22 +169,27 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1000, most_clean: int = 6000, longest: int = 20_000) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1000, most_clean: int = 6000, most_chars: int = 40_000_000
+) -> Model:
     """Fit on a bounded sample of labelled rows that aren't held out.
 
     At most most_toxic rows of label 1 and most_clean of label 0 come to the
-    driver, chosen by a hash of the id, with texts of at most ``longest`` code
-    points: no more than 140 million code points by default, in practice about 20
-    million. Null labels, ids and texts, and texts without a word, don't count;
-    a repeated label row counts once; a repeated id gives the least of its texts.
+    driver, chosen by a hash of the id, whole texts each; where they exceed
+    most_chars code points together, the longest are left out. Null labels, ids
+    and texts, and texts without a word, don't count; a repeated label row counts
+    once; a repeated id gives the least of its texts. Without rows, or with those
+    of one label only, scores are constant.
     """
     need_columns(docs, id_col, text_col)
     need_columns(labels, id_col, label_col)
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & ~held_out("_id"))
     pick = lambda v, n: marks.where(F.col("_label") == v).distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = pick(1, most_toxic).union(pick(0, most_clean))
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= longest)
-    rows = found.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).toArrow()
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    rows = found.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    so_far = F.sum(F.length("_text")).over(Window.orderBy(F.length("_text"), "_id", "_label").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over the few thousand chosen rows
+    rows = rows.where(F.length("_text") <= most_chars).withColumn("_sum", so_far).where(F.col("_sum") <= most_chars).drop("_sum").toArrow()
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("_id", "_label", "_text"))))
     return fit([r[2] for r in rows], [r[1] for r in rows])
 
