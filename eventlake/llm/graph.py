@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import crowd, join_crowded, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     """Ties each larger neighbour of a node to the smallest node that the node knows."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    tied = join_crowded(both, least, ["a"], F.col("n") > most)
+    return tied.where("b > a").select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     """Ties a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    tied = join_crowded(down, least, ["u"], F.col("n") > most).select(F.col("m").alias("a"), F.col("v").alias("b"))
     return tied.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
 
 
@@ -28,12 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nulls and loops link nothing and give no row; repeated edges count once; no
     edges give no rows. Every round writes its edges, so no lineage builds up.
-    A node with very many links only ever meets its one smallest neighbour.
+    The smallest neighbour of a node with very many links is broadcast to them;
+    there are at most two thousand such nodes.
     """
     now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    most = crowd(now.count(), 256)
     seen = None
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(written(_large_star(now, most), "edges"), most), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

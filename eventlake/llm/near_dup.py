@@ -4,10 +4,12 @@ A document's set is its distinct k-word shingles. Its sketch keeps, for each of
 ``REGISTERS`` hash functions, the minimum over the set, seen as an exponential
 variate and truncated to a power of ``BASE``: registers of two sets merge by a
 maximum and agree about as often as the sets do. Four registers make a band;
-documents meet that agree in a band. Which pairs of a bucket are compared is
-linear in its size (leaders and neighbours under several orders, over again
-while components still merge); a pair goes on to the exact test unless the
-joint likelihood of its registers all but excludes the wanted similarity.
+documents meet that agree in a band. In the first turns a member meets a few
+others of its bucket (heads of blocks, and neighbours under several orders), which
+brings nearly all that link into one component; in the last one those outside a
+bucket's largest component meet all others, so that no pair of a bucket stays
+undecided. A pair goes on to the exact test unless the joint likelihood of its
+registers all but excludes the wanted similarity.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import need_columns, written
+from .shared import crowd, join_crowded, need_columns, written
 from .words import mix, shingle_hashes, word_hashes
 
 REGISTERS, ROWS = 128, 4
@@ -28,8 +30,10 @@ BANDS = REGISTERS // ROWS
 BASE, RATE = 1.02, 20.0
 #: A pair is dropped untested when the likelihood of the wanted similarity is below exp(-SURE) of the best one.
 SURE = 9.0
-#: Orders tried at least; beyond them turns go on as long as they find links.
-TURNS = 2
+#: Turns in which a member meets a few others; the last one after them leaves no pair out.
+TURNS = 3
+#: Members that one head of a block meets.
+CROWD = 64
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _TIMES = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -101,19 +105,21 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _likely(percent: int):
+    """Pairs (a, b) whose registers (ra, rb) and set sizes (na, nb) don't all but exclude the wanted similarity."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = np.linspace(0, 1, 81)[None, :]
         for batch in rows:
-            if not batch.num_rows:
-                continue
-            na, nb = (np.array(batch.column(c).to_pylist(), float) for c in ("na", "nb"))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            wanted = log_likelihood(a, b, na, nb, np.full((1, 1), percent / 100))[:, 0]
-            curve = log_likelihood(a, b, na, nb, grid)
-            best = curve.max(1)
-            keep = (wanted >= best - SURE) | (grid[0][curve.argmax(1)] >= percent / 100)
-            keep &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                keep = np.flatnonzero((a == b).sum(1) >= REGISTERS * (percent / 100 - 0.25))  # six deviations and more
+                a, b, na, nb = a[keep], b[keep], na[keep], nb[keep]
+                wanted = log_likelihood(a, b, na, nb, np.full((1, 1), percent / 100))[:, 0]
+                curve = log_likelihood(a, b, na, nb, grid)
+                sure = (wanted < curve.max(1) - SURE) & (grid[0][curve.argmax(1)] < percent / 100)
+                yield part.select(["a", "b"]).take(pa.array(keep[~sure]))
 
     return run
 
@@ -138,72 +144,110 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _met(x: Column, y: Column, percent: int) -> Column:
+    """Whether two members may be worth a look: of different components, and with sizes that allow the similarity."""
+    return y.isNotNull() & (x["component"] != y["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    """a, b, na, nb, ra, rb of two members, the smaller id first."""
+    turned = x["id"] > y["id"]
+    pick = lambda f, p, q: F.when(turned, q[f]).otherwise(p[f])
+    return [pick(f, *o).alias(name) for name, f, o in (("a", "id", (x, y)), ("b", "id", (y, x)), ("na", "n", (x, y)), ("nb", "n", (y, x)), ("ra", "regs", (x, y)), ("rb", "regs", (y, x)))]
+
+
 def candidates(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members, a few for each member however large the bucket is.
-
-    members: (key, band, id, n, rank, component, regs). A member meets the leader
-    (the one that meets most others over all bands) and the member before it in
-    the leaders' order; in later turns the first three leaders and the member
-    before it under an order of other registers, which differ by turn, so that
-    neighbours agree in more than the band. Members of one component don't meet,
-    nor do sets whose sizes rule out the similarity.
+    """Pairs (a, b, na, nb, ra, rb) of a bucket's members, a few for each member however large the bucket is.
+
+    members: (key, salt, band, id, n, rank, component, regs). The members of a
+    bucket, or of each part (salt) of a crowded one, stand in an order: at first
+    by how many others they meet over all bands, in later turns by registers that
+    differ by turn, so that neighbours agree in more than the band. A member meets
+    the one before it and the head of its block of ``CROWD`` members (in later
+    turns the first three), a block's head that of the bucket's part, and those of
+    a bucket's parts each other in a row and the first. Members of one component
+    don't meet, nor do sets whose sizes rule out the similarity.
     """
-    bucket = Window.partitionBy("key")
-    order = bucket.orderBy(F.desc("rank"), "id")
-    who = F.struct("id", "component", "n")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = [F.nth_value(who, i).over(so_far) for i in ((1, 2, 3) if turn else (1,))]
+    part = Window.partitionBy("key", "salt")
+    by = [F.desc("rank"), F.col("id")]
     if turn:
         start = (F.lit(1) + 2 * ROWS * F.pmod(F.col("band") + F.lit(turn), F.lit(BANDS))).cast("int")
-        order = bucket.orderBy(F.col("regs").substr(start, F.lit(2 * ROWS)), F.desc("rank"), "id")
-    met.append(F.lag(who).over(order))
-    mates = members.select("id", "component", "n", *(m.alias(f"met{i}") for i, m in enumerate(met)))
-    mates = mates.select("id", "component", "n", F.explode(F.array(*(f"met{i}" for i in range(len(met))))).alias("other"))
-    fits = 100 * F.least("n", "other.n") >= percent * F.greatest("n", "other.n")
-    pairs = mates.where(F.col("other").isNotNull() & (F.col("other.component") != F.col("component")) & fits)
-    return pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+        by = [F.col("regs").substr(start, F.lit(2 * ROWS)), *by]
+    order, who = part.orderBy(*by), F.struct("id", "component", "n", "regs")
+    placed = members.select("key", "salt", "rank", "band", *(["regs", "id"] if turn else ["id"]), who.alias("me"), (F.row_number().over(order) - 1).alias("place"), F.lag(who).over(order).alias("met0"), F.first(who).over(order).alias("head"))
+    placed = placed.withColumn("block", F.floor(F.col("place") / CROWD))
+    so_far = Window.partitionBy("key", "salt", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = [F.nth_value("me", i).over(so_far) for i in ((1, 2, 3) if turn else (1,))]
+    met.append(F.when(F.col("place") % CROWD == 0, F.col("head")))
+    mates = placed.select("me", "met0", *(m.alias(f"met{i}") for i, m in enumerate(met, 1)))
+    mates = mates.select("me", F.explode(F.array("met0", *(f"met{i}" for i, _ in enumerate(met, 1)))).alias("other"))
+    across = Window.partitionBy("key").orderBy("salt")
+    heads = placed.where("place = 0 and salt is not null").select("key", "salt", "me")
+    heads = heads.select("me", F.lag("me").over(across).alias("before"), F.first("me").over(across).alias("first")).select("me", F.explode(F.array("before", "first")).alias("other"))
+    pairs = mates.unionByName(heads)
+    return pairs.where(_met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other")))
+
+
+def remaining(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """All pairs (a, b, na, nb, ra, rb) that share a band and aren't in one component yet.
+
+    Each member outside of its bucket's largest component meets every member of
+    the other components. That is what no few pairs can replace: whether it links
+    to none of them. Parts (salts) of a crowded bucket are met one by one.
+    """
+    each = members.groupBy("key", "component").agg(F.count("*").alias("n_own"))
+    main = each.groupBy("key").agg(F.max_by("component", F.struct("n_own", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("n_own").alias("size"))
+    open_ = written(join_crowded(members, main.where("kinds > 1"), ["key"], F.col("size") > most), "open")
+    whole = F.struct("id", "component", "n", "regs")
+    salts = F.when(F.col("salt").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    some = open_.where("component <> main").select("key", whole.alias("me"), F.explode(salts).alias("salt"))
+    others = open_.select("key", F.coalesce("salt", F.lit(-1)).alias("salt"), "main", whole.alias("other"))
+    pairs = some.join(others.hint("merge"), ["key", "salt"])
+    once = (F.col("other.component") == F.col("main")) | (F.col("me.id") < F.col("other.id"))
+    return pairs.where(once & _met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other")))
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Classes of equal sets, and (node, component) of the classes' first ids that link."""
-    spark = docs.sparkSession
-    classes = written(sets.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
+    classes = written(classes, "classes")
+    most = crowd(classes.count(), 1000)
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(1 + 2 * ROWS * i, F.lit(2 * ROWS)))))
     keyed = classes.select("id", band.alias("band", "key"))
-    shared = keyed.select("*", F.count("*").over(Window.partitionBy("key")).alias("met")).where("met > 1")
-    shared = written(shared, "buckets")
+    shared = join_crowded(keyed, keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), ["key"], F.col("met") > most)
+    salts = F.when(F.col("met") > most, F.ceil(F.col("met") / most).cast("int"))
+    shared = written(shared.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "buckets")
     if shared.isEmpty():
         return classes, None
     rank = shared.groupBy("id").agg(F.sum("met").alias("rank"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    info = written(classes.join(rank, "id"), "met")
+    info = written(classes.select("id", "n", "regs").join(rank, "id"), "met")
     # the ids grow with the documents: no broadcast, at no size
     texts = written(texts.join(info.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
-    found, tested, comp, turn = None, None, None, 0
-    while True:
-        members = shared.join(info.select("id", "n", "rank", "regs"), "id")
+
+    def members(comp: DataFrame | None) -> DataFrame:
+        all_ = shared.join(info, "id")
         if comp is None:
-            members = members.withColumn("component", F.col("id"))
-        else:
-            members = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = candidates(members, turn, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        a, b = (info.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(percent), "a long, b long")
+            return all_.withColumn("component", F.col("id"))
+        return all_.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def verified(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that are worth a test and weren't tested yet, and those of them that link."""
+        likely = pairs.mapInArrow(_likely(percent), "a long, b long").distinct()
+        likely = written(likely if tested is None else likely.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         linked = likely.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
-        new = written(linked.distinct(), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if new.isEmpty():
-            if turn >= TURNS:
-                break
-            turn += 1
-            continue
-        found = new if comp is None else comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(new)
-        comp = written(components(found), "components")
-        turn += 1
+        return likely, written(linked.distinct(), "links")
+
+    tested, comp = None, None
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
+        pairs = remaining(members(comp), percent, most) if last else candidates(members(comp), turn, percent)
+        likely, new = verified(pairs, tested)
+        tested = likely if tested is None else tested.union(likely)
+        if not new.isEmpty():
+            found = new if comp is None else comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(new)
+            comp = written(components(found), "components")
     return classes, comp
 
 
@@ -222,12 +266,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need_columns(docs, id_col, text_col)
     sets = written(sketches(docs, id_col, text_col, k), "sketches")
     classes, comp = links(docs, sets, id_col, text_col, k, percent)
-    group = classes.select("h1", "h2", "id")
+    group = classes.select("h1", "h2", "id", "copies")
     if comp is None:
-        group = group.select("h1", "h2", F.col("id").alias("component_id"))
+        group = group.select("h1", "h2", "copies", F.col("id").alias("component_id"))
     else:
-        group = group.join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
-    some = sets.where("n > 0").select("id", "n", "h1", "h2").join(group, ["h1", "h2"], "left").select("id", "n", "component_id")
+        group = group.join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "copies", F.coalesce("component", "id").alias("component_id"))
+    full = sets.where("n > 0").select("id", "n", "h1", "h2")
+    lone = full.where("id is null").join(group, ["h1", "h2"], "left").select("id", "n", "component_id")
+    some = join_crowded(full.where("id is not null"), group, ["h1", "h2"], F.col("copies") > crowd(sets.count(), 1000)).select("id", "n", "component_id").union(lone)
     none = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.union(none).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,13 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (a local test) a folder under /tmp is set.
+    Where the session names none, one is made under /tmp in a local session (a
+    test) only; on a cluster that is an error, as machines don't share folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir(folder := "/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder := tempfile.mkdtemp(prefix="checkpoints-"))
     return folder.rstrip("/")
 
 
@@ -50,3 +55,22 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def join_crowded(left: DataFrame, right: DataFrame, keys: list[str], crowded: Column) -> DataFrame:
+    """left joined with right, which has one row a key; keys of which left has very many rows don't meet in one task.
+
+    ``crowded`` tells which rows of right stand for such keys. They must be few:
+    they are broadcast, the others are joined by a shuffle. Rows of left whose
+    key is null, or isn't in right, are left out. left is read twice.
+    """
+    (flag,) = unused(left, "_crowded")
+    hot = right.where(crowded).withColumn(flag, F.lit(True))
+    near = left.join(F.broadcast(hot), keys, "left")
+    cold = near.where(F.col(flag).isNull()).select(*left.columns).join(right.where(~crowded), keys)
+    return near.where(flag).drop(flag).unionByName(cold)
+
+
+def crowd(rows: int, least: int) -> int:
+    """From how many rows on a key counts as crowded: no more than a thousand keys can, for each row's place in ``rows``."""
+    return max(least, rows // 1000)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from eventlake.llm import near_dup
+from eventlake.llm import graph, near_dup
 from eventlake.llm.graph import components
 from eventlake.llm.words import shingle_hashes, word_hashes
 
@@ -97,3 +97,23 @@ def test_components(spark):
     assert components(edges.limit(0)).collect() == []
     chain = spark.range(200).selectExpr("id as a", "id + 1 as b")
     assert {r.component for r in components(chain).collect()} == {0}
+
+
+def test_crowd_of_near_copies_at_every_distance(spark, monkeypatch):
+    """One large group around the threshold, in buckets that are parted: no link lost."""
+    monkeypatch.setattr(near_dup, "CROWD", 4)
+    monkeypatch.setattr(near_dup, "crowd", lambda rows, least: 20)
+    monkeypatch.setattr(graph, "crowd", lambda rows, least: 5)
+    monkeypatch.setattr(near_dup, "TURNS", 1)  # leaves the most to the last turn
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"x{i}{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, rows[3][1]) for i in range(60)]  # one hot class of equal texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
+    want = brute(rows, 4, 80)
+    assert len({v[1] for v in want.values()}) > 20 and found == want
