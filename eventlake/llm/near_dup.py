@@ -7,8 +7,8 @@ maximum and agree about as often as the sets do. Four registers make a band;
 documents meet that agree in a band. In the first turns a member meets a few
 others of its bucket (heads of blocks, and neighbours under several orders), which
 brings nearly all that link into one component; in the last one those outside a
-bucket's largest component meet all others, so that no pair of a bucket stays
-undecided. A pair goes on to the exact test unless the joint likelihood of its
+bucket's largest component meet all others, unless there are many of both. The
+work is linear in a bucket's size. A pair goes on to the exact test unless the joint likelihood of its
 registers all but excludes the wanted similarity.
 """
 
@@ -30,10 +30,12 @@ BANDS = REGISTERS // ROWS
 BASE, RATE = 1.02, 20.0
 #: A pair is dropped untested when the likelihood of the wanted similarity is below exp(-SURE) of the best one.
 SURE = 9.0
-#: Turns in which a member meets a few others; the last one after them leaves no pair out.
-TURNS = 3
-#: Members that one head of a block meets.
+#: Turns in which a member meets a few others of a bucket, and how many bands on the order of each one begins.
+TURNS, TURN = 4, 7
+#: Members that one head of a block meets, and up to which all of a bucket meet in the end.
 CROWD = 64
+#: Members outside of a bucket's largest component, up to which they meet all others in the end.
+FEW = 8
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _TIMES = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -161,24 +163,26 @@ def candidates(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
     members: (key, salt, band, id, n, rank, component, regs). The members of a
     bucket, or of each part (salt) of a crowded one, stand in an order: at first
-    by how many others they meet over all bands, in later turns by registers that
-    differ by turn, so that neighbours agree in more than the band. A member meets
-    the one before it and the head of its block of ``CROWD`` members (in later
-    turns the first three), a block's head that of the bucket's part, and those of
-    a bucket's parts each other in a row and the first. Members of one component
-    don't meet, nor do sets whose sizes rule out the similarity.
+    by how many others they meet over all bands, in later turns by all registers,
+    from one on that differs by turn, so that neighbours agree in as many more as
+    any do. A member meets the head of its block of ``CROWD`` members and the one
+    before it, in later turns the two before it; a block's head that of the
+    bucket's part, and those of a bucket's parts each other in a row and the
+    first. Members of one component don't meet, nor do sets whose sizes rule out
+    the similarity.
     """
     part = Window.partitionBy("key", "salt")
     by = [F.desc("rank"), F.col("id")]
     if turn:
-        start = (F.lit(1) + 2 * ROWS * F.pmod(F.col("band") + F.lit(turn), F.lit(BANDS))).cast("int")
-        by = [F.col("regs").substr(start, F.lit(2 * ROWS)), *by]
+        start = (F.lit(1) + 2 * ROWS * F.pmod(F.col("band") + F.lit(TURN * turn), F.lit(BANDS))).cast("int")
+        by = [F.col("regs").substr(start, F.lit(2 * REGISTERS)), F.col("regs"), *by]
     order, who = part.orderBy(*by), F.struct("id", "component", "n", "regs")
     placed = members.select("key", "salt", "rank", "band", *(["regs", "id"] if turn else ["id"]), who.alias("me"), (F.row_number().over(order) - 1).alias("place"), F.lag(who).over(order).alias("met0"), F.first(who).over(order).alias("head"))
     placed = placed.withColumn("block", F.floor(F.col("place") / CROWD))
     so_far = Window.partitionBy("key", "salt", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = [F.nth_value("me", i).over(so_far) for i in ((1, 2, 3) if turn else (1,))]
-    met.append(F.when(F.col("place") % CROWD == 0, F.col("head")))
+    met = [F.first("me").over(so_far), F.when(F.col("place") % CROWD == 0, F.col("head"))]
+    if turn:
+        met.append(F.lag("me", 2).over(Window.partitionBy("key", "salt").orderBy("place")))
     mates = placed.select("me", "met0", *(m.alias(f"met{i}") for i, m in enumerate(met, 1)))
     mates = mates.select("me", F.explode(F.array("met0", *(f"met{i}" for i, _ in enumerate(met, 1)))).alias("other"))
     across = Window.partitionBy("key").orderBy("salt")
@@ -189,15 +193,17 @@ def candidates(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def remaining(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """All pairs (a, b, na, nb, ra, rb) that share a band and aren't in one component yet.
+    """Pairs (a, b, na, nb, ra, rb) of a bucket's members that aren't in one component yet: all of them, in most buckets.
 
-    Each member outside of its bucket's largest component meets every member of
-    the other components. That is what no few pairs can replace: whether it links
-    to none of them. Parts (salts) of a crowded bucket are met one by one.
+    A member outside of its bucket's largest component is an outsider. Outsiders
+    meet every member of other components where the bucket has up to ``FEW``
+    outsiders or ``CROWD`` members: so many pairs a member at most. The parts
+    (salts) of a crowded bucket are met one by one.
     """
     each = members.groupBy("key", "component").agg(F.count("*").alias("n_own"))
-    main = each.groupBy("key").agg(F.max_by("component", F.struct("n_own", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("n_own").alias("size"))
-    open_ = written(join_crowded(members, main.where("kinds > 1"), ["key"], F.col("size") > most), "open")
+    main = each.groupBy("key").agg(F.max_by("component", F.struct("n_own", "component")).alias("main"), F.max("n_own").alias("n_main"), F.sum("n_own").alias("size"))
+    main = main.where((F.col("size") > F.col("n_main")) & ((F.col("size") - F.col("n_main") <= FEW) | (F.col("size") <= CROWD)))
+    open_ = written(join_crowded(members, main, ["key"], F.col("size") > most), "open")
     whole = F.struct("id", "component", "n", "regs")
     salts = F.when(F.col("salt").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
     some = open_.where("component <> main").select("key", whole.alias("me"), F.explode(salts).alias("salt"))

@@ -101,10 +101,8 @@ def test_components(spark):
 
 def test_crowd_of_near_copies_at_every_distance(spark, monkeypatch):
     """One large group around the threshold, in buckets that are parted: no link lost."""
-    monkeypatch.setattr(near_dup, "CROWD", 4)
-    monkeypatch.setattr(near_dup, "crowd", lambda rows, least: 20)
+    monkeypatch.setattr(near_dup, "crowd", lambda rows, least: 50)
     monkeypatch.setattr(graph, "crowd", lambda rows, least: 5)
-    monkeypatch.setattr(near_dup, "TURNS", 1)  # leaves the most to the last turn
     rng = random.Random(5)
     base, rows = [f"w{i}" for i in range(60)], []
     for i in range(160):
