@@ -55,20 +55,37 @@ def _slot(kind: Column) -> Column:
     return kind.isin("<num>", "<name>", "<unit>")
 
 
-def _windows(hashes: Column) -> Column:
-    """Hash of each window of WINDOW token hashes."""
-    n = F.size(hashes) - WINDOW
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(hashes, i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+def _windows(hashes: Column, sizes: list[int]) -> Column:
+    """(place, hash) of each window of these numbers of token hashes; its size is part of a shorter one's hash."""
+
+    def of(size: int) -> Column:
+        n = F.size(hashes) - size
+        made = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, size), *([] if size == WINDOW else [F.lit(size)])).alias("hash"), F.lit(size).alias("size"))
+        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), made)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint,size:int>>"))
+
+    return of(sizes[0]) if len(sizes) == 1 else F.concat(*map(of, sizes))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item, ipos, itoks, ikinds, n_items): every window of every item that has enough literal tokens."""
-    t = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col).cast("string")).alias("toks")).where("item is not null and toks is not null")
-    t = t.distinct().withColumn("kinds", kinds(F.col("toks")))
+    """(hash, item, ipos, itoks, ikinds, size, n_item): every window of every item that has enough literal tokens.
+
+    Each item comes twice: with names as placeholders, and with names as words
+    in lower case, since a copy in one case shows no names. An item shorter than
+    a window is one window of its own size. n_item is how many windows it has.
+    Null items and texts, and those without tokens, give none; repeated rows
+    count once; an empty table gives no rows.
+    """
+    t = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col).cast("string")).alias("toks")).where("item is not null and size(toks) > 0").distinct()
+    plain = t.withColumn("toks", F.transform("toks", lambda x: F.regexp_replace(x, _NAME, "")))
+    t = t.union(plain).distinct().withColumn("kinds", kinds(F.col("toks")))
     t = t.withColumn("hashes", F.transform("kinds", lambda k: F.xxhash64(k)))
-    t = t.select("item", "toks", "kinds", F.posexplode(_windows(F.col("hashes"))).alias("ipos", "hash"))
-    t = t.select("item", "ipos", "hash", F.slice("toks", F.col("ipos") + 1, WINDOW).alias("itoks"), F.slice("kinds", F.col("ipos") + 1, WINDOW).alias("ikinds"))
-    return t.where(F.size(F.filter("ikinds", lambda k: ~_slot(k))) >= LITERALS)
+    short = F.size("hashes") < WINDOW
+    one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("hashes", F.size("hashes")).alias("hash"), F.size("hashes").alias("size")))
+    t = t.select("item", "toks", "kinds", F.explode(F.when(short, one).otherwise(_windows(F.col("hashes"), [WINDOW]))).alias("w"))
+    cut = lambda c: F.slice(c, F.col("w.pos") + 1, F.col("w.size"))
+    t = t.select("item", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"), F.col("w.size").alias("size"), cut("toks").alias("itoks"), cut("kinds").alias("ikinds"))
+    t = t.where(F.size(F.filter("ikinds", lambda k: ~_slot(k))) >= LITERALS)
+    return t.join(t.groupBy("item").agg(F.countDistinct("ipos").alias("n_item")), "item")
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -87,37 +104,49 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     each in the document; 1 without slots), verbatim (all slot values equal).
 
     An item counts as contained if ``run`` windows match along one offset (a run
-    of 13 tokens) or ``coverage`` of its windows match, and consistency is at
-    least ``consistent``. Null and empty texts contain nothing; an item shorter
-    than a window, or with too few literal tokens, can't be found. A repeated
-    item counts once. Rows with one id are one document. Both tables may be
-    empty; other columns are ignored.
+    of 13 tokens) or ``coverage`` of its windows match, by offsets whose
+    consistency is at least ``consistent``: no placeholder's value in the item
+    stands for two in the document, nor the other way round. An item of 4 to 7
+    tokens is one window. Null and empty texts contain nothing; an item or window
+    with fewer than ``LITERALS`` tokens besides placeholders can't be found. A
+    repeated item counts once. Rows with one id are one document. Both tables may
+    be empty; other columns are ignored.
     """
     need_columns(docs, id_col, text_col)
     need_columns(benchmark, item_col, "text")
     items = written(benchmark_windows(benchmark, item_col), "benchmark-windows")
     n = items.count()
-    total = items.groupBy("item").agg(F.countDistinct("ipos").alias("n_item"))
-    side = F.broadcast(items) if n <= BROADCAST_WINDOWS else items
+    sizes = [WINDOW, *sorted(r["size"] for r in items.select("size").distinct().collect() if r["size"] != WINDOW)]
+    items = items.drop("size")
     d = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("toks")).where("toks is not null")
-    d = d.withColumn("hashes", F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k)))
-    d = d.select("key", "id", "toks", F.posexplode(_windows(F.col("hashes"))).alias("pos", "hash"))
-    hit = d.join(side, "hash").select("key", "id", "item", "pos", "ipos", (F.col("pos") - F.col("ipos")).alias("offset"), F.slice("toks", F.col("pos") + 1, WINDOW).alias("dtoks"), "itoks", "ikinds")
+    each = d.withColumn("w", F.explode(_windows(F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k)), sizes)))
+    at = [F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash")]
+    if n <= BROADCAST_WINDOWS:
+        hit = each.select("key", "id", "toks", *at).join(F.broadcast(items), "hash")
+    else:  # no text goes through the shuffle of windows
+        hit = written(each.select("key", *at).join(items, "hash").distinct(), "hits")
+        hit = hit.join(d.join(hit.select("key").distinct(), "key", "left_semi"), "key")
+    hit = hit.select("key", "id", "item", "pos", "ipos", "n_item", (F.col("pos") - F.col("ipos")).alias("offset"), F.slice("toks", F.col("pos") + 1, F.size("itoks")).alias("dtoks"), "itoks", "ikinds")
     three = F.arrays_zip(F.col("ikinds").alias("k"), F.col("itoks").alias("i"), F.col("dtoks").alias("d"))
     pairs = F.transform(F.filter(three, lambda t: _slot(t["k"])), lambda t: F.struct(t["k"].alias("k"), F.lower(t["i"]).alias("i"), F.lower(t["d"]).alias("d")))
     along = hit.groupBy("key", "item", "offset").agg(
-        F.max("id").alias("id"), F.collect_set("ipos").alias("iposes"), F.min("pos").alias("first_token"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.max("id").alias("id"), F.max("n_item").alias("n_item"), F.collect_set("ipos").alias("iposes"), F.min("pos").alias("first_token"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
-    along = along.withColumn("n", F.size("iposes"))
-    left = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["k"].alias("k"), p["i"].alias("i"))))
-    single = F.filter(left, lambda v: F.size(F.filter("pairs", lambda p: (p["k"] == v["k"]) & (p["i"] == v["i"]))) == 1)
-    along = along.withColumns({"n_slots": F.size(left), "consistency": F.when(F.size(left) == 0, 1.0).otherwise(F.size(single) / F.size(left))})
-    along = along.withColumn("verbatim", F.forall("pairs", lambda p: p["i"] == p["d"]))
+
+    def values(side: str) -> Column:
+        return F.array_distinct(F.transform("pairs", lambda p: F.struct(p["k"].alias("k"), p[side].alias("v"))))
+
+    def single(side: str) -> Column:
+        """Share of the values of one side that stand for one value of the other."""
+        alone = F.filter(values(side), lambda v: F.size(F.filter("pairs", lambda p: (p["k"] == v["k"]) & (p[side] == v["v"]))) == 1)
+        return F.size(alone) / F.size(values(side))
+
+    along = along.withColumns({"n": F.size("iposes"), "n_slots": F.size(values("i")), "consistency": F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(single("i"), single("d")))})
+    along = along.where(F.col("consistency") >= consistent).withColumn("verbatim", F.forall("pairs", lambda p: p["i"] == p["d"]))
     best = F.struct("n", F.col("consistency").alias("c"), (-F.col("offset")).alias("o"), "first_token", "n_slots", "verbatim")
-    found = along.groupBy("key", "item").agg(F.max("id").alias("id"), F.max(best).alias("best"), F.array_distinct(F.flatten(F.collect_set("iposes"))).alias("all"))
-    found = found.join(F.broadcast(total) if n <= BROADCAST_WINDOWS else total, "item")
+    found = along.groupBy("key", "item").agg(F.max("id").alias("id"), F.max("n_item").alias("n_item"), F.max(best).alias("best"), F.array_distinct(F.flatten(F.collect_set("iposes"))).alias("all"))
     share = F.size("all") / F.col("n_item")
-    return found.where(((F.col("best.n") >= run) | (share >= coverage)) & (F.col("best.c") >= consistent)).select(
+    return found.where((F.col("best.n") >= run) | (share >= coverage)).select(
         "key", F.col("id").alias(id_col), F.col("item").alias(item_col), F.size("all").cast("long").alias("n_windows"), share.alias("coverage"), F.col("best.n").cast("long").alias("longest"),
         F.col("best.first_token").cast("long").alias("first_token"), F.col("best.n_slots").cast("long").alias("n_slots"), F.col("best.c").alias("consistency"), F.col("best.verbatim").alias("verbatim"),
     )

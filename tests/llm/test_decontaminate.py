@@ -64,3 +64,23 @@ def test_matches_brute_force(spark, data):
 def test_plan_has_no_python(spark, data):
     docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
     assert not re.search("Python|Pandas|Arrow", d.matches(docs, bench)._jdf.queryExecution().executedPlan().toString())
+
+
+GERMAN = "Am Morgen kauft die Frau im Laden von Hans 12 Brote und 3 Kuchen für das Fest der Kinder im Garten"
+
+
+def test_case_short_items_and_both_ways(spark):
+    items = [(1, ITEM), (2, GERMAN), (3, "seven small words stand right here"), (4, "box of Anna and bag of Otto hold 3 and 5 and 7 small balls of red wool each")]
+    merged = items[3][1].replace("Anna", "Rosa").replace("Otto", "Rosa").replace("3", "9").replace("5", "9").replace("7", "9")
+    twice = ITEM.replace("Mary", "Susan").replace("night", "noon") + ". " + ITEM.replace("farmer John Miller", "farmer Peter Brown").replace("John", "Carl").replace("Mary", "Carl")
+    docs = [(1, ITEM.lower()), (2, ITEM.upper()), (3, GERMAN.lower()), (4, "X SEVEN SMALL WORDS STAND RIGHT HERE Y"), (5, "seven small words stand"), (6, "The " + merged), (7, twice)]
+    _, _, found = run(spark, docs, items)
+    got = sorted((r.doc_id, r.item_id) for r in found.values())
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 3), (7, 1)]
+
+
+def test_shuffled_plan_agrees(spark, data, monkeypatch):
+    docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    near = sorted(map(str, d.matches(docs, bench).collect()))
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", -1)
+    assert sorted(map(str, d.matches(docs, bench).collect())) == near and near
