@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import to_millis
+from ..tables import unused
 
 ENVELOPE = ("persistence_id", "sequence_nr", "timestamp_ms", "tag", "event")
 
@@ -27,8 +28,35 @@ def events_log(events: DataFrame) -> DataFrame:
     return as_log(events, F.col("user_id"), [F.col("ts"), F.col("event_id")], F.col("ts"), F.col("event_type"), F.col("props"), F.col("value"), F.col("event_id"))
 
 
+def store(log: DataFrame, path: str, day_ms: int = 86_400_000) -> None:
+    """Write a numbered log once, so that later reads need no numbering and skip other tags and days.
+
+    Rows of a tag and day go to one folder, sorted by time: filters on tag and
+    timestamp_ms then reach the scan (see stored).
+    """
+    day = F.floor(F.col("timestamp_ms") / day_ms).cast("bigint")
+    dealt = log.withColumn("day", day).repartition("tag", "day").sortWithinPartitions("tag", "day", "timestamp_ms")
+    dealt.write.mode("append").partitionBy("tag", "day").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, tag: str | None = None, since_ms: int | None = None, until_ms: int | None = None, day_ms: int = 86_400_000) -> DataFrame:
+    """A stored log, or the part of it of a tag from a time on and before another; only that part's folders are read."""
+    found = spark.read.parquet(path)
+    if tag is not None:
+        found = found.where(F.col("tag") == tag)
+    if since_ms is not None:
+        found = found.where((F.col("day") >= since_ms // day_ms) & (F.col("timestamp_ms") >= since_ms))
+    if until_ms is not None:
+        found = found.where((F.col("day") <= until_ms // day_ms) & (F.col("timestamp_ms") < until_ms))
+    return found.drop("day")
+
+
 def events_by_tag(log: DataFrame, tag: str, since: str | int | None = None, until: str | int | None = None) -> DataFrame:
-    """Events of a tag from ``since`` on (milliseconds or ISO text) and before ``until``; the filters reach the scan."""
+    """Events of a tag from ``since`` on (milliseconds or ISO text) and before ``until``.
+
+    The filters reach the scan of a stored log; a log that is numbered on the
+    fly is numbered whole before.
+    """
     found = log.where(F.col("tag") == tag)
     if since is not None:
         found = found.where(F.col("timestamp_ms") >= to_millis(F.lit(str(since))))
@@ -61,7 +89,8 @@ def deduplicated(log: DataFrame) -> DataFrame:
 def contiguous_prefix(log: DataFrame) -> DataFrame:
     """Each entity's events from number 1 up to its first gap; repeated events count once."""
     order = Window.partitionBy("persistence_id").orderBy("sequence_nr")
-    return deduplicated(log).withColumn("_n", F.row_number().over(order)).where("sequence_nr = _n").drop("_n")
+    (n,) = unused(log, "n")
+    return deduplicated(log).withColumn(n, F.row_number().over(order)).where(F.col("sequence_nr") == F.col(n)).drop(n)
 
 
 def require_rows(df: DataFrame) -> DataFrame:

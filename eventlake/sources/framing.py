@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +80,24 @@ ENVELOPE_SCHEMA = "persistence_id string, sequence_nr long, timestamp_ms long, e
 
 
 def decode_frames(files: DataFrame, content: str = "content", rows: int = 5000) -> DataFrame:
-    """The envelopes in a column of delimited messages, in bounded batches."""
+    """The envelopes in a column of delimited messages, in bounded batches; null and empty contents hold none."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for part in parts:
-            for data in part[content]:
-                held = []
-                for message in frames(bytes(data or b"")):
+            for data in part.column(0):
+                for message in frames(data.as_py() or b""):
                     held.append(decode_envelope(message))
                     if len(held) >= rows:
-                        yield pd.DataFrame(held, columns=["persistence_id", "sequence_nr", "timestamp_ms", "event"])
+                        yield _batch(held)
                         held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["persistence_id", "sequence_nr", "timestamp_ms", "event"])
+        if held:
+            yield _batch(held)
 
-    return files.select(content).mapInPandas(run, ENVELOPE_SCHEMA)
+    return files.select(F.col(content).cast("binary")).mapInArrow(run, ENVELOPE_SCHEMA)
+
+
+def _batch(envelopes: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+    names = ["persistence_id", "sequence_nr", "timestamp_ms", "event"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*envelopes), kinds)], names)

@@ -32,8 +32,12 @@ class Protocol:
     def errors(self, raw: Column, path: str) -> Column:
         return _none()
 
-    def map(self, f: Callable[[Column], Column]) -> Protocol:
-        return Mapped(self, f)
+    #: How a document that holds it begins; None for a scalar, which any may.
+    root: str | None = None
+
+    def map(self, f: Callable[[Column], Column], error: Callable[[Column], Column] | None = None) -> Protocol:
+        """The value transformed; ``error`` may tell of a value why it can't be (null: it can)."""
+        return Mapped(self, f, error)
 
 
 @dataclass
@@ -61,6 +65,10 @@ class Scalar(Protocol):
 class Mapped(Protocol):
     inner: Protocol
     f: Callable[[Column], Column]
+    error: Callable[[Column], Column] | None = None
+
+    def __post_init__(self) -> None:
+        self.root = self.inner.root
 
     def schema(self) -> str:
         return self.inner.schema()
@@ -69,7 +77,12 @@ class Mapped(Protocol):
         return self.f(self.inner.value(raw))
 
     def errors(self, raw: Column, path: str) -> Column:
-        return self.inner.errors(raw, path)
+        found = self.inner.errors(raw, path)
+        if self.error is None:
+            return found
+        own = self.inner.value(raw)
+        why = F.when(own.isNotNull(), self.error(own))
+        return F.concat(found, F.when(why.isNotNull(), F.array(F.concat(why, F.lit(f" at {path}")))).otherwise(_none()))
 
 
 @dataclass
@@ -77,6 +90,7 @@ class Each(Protocol):
     """All elements of an array; an absent one is empty, elements that are nothing are left out."""
 
     inner: Protocol
+    root = "["
 
     def schema(self) -> str:
         return f"array<{self.inner.schema()}>"
@@ -95,12 +109,15 @@ class AnyField(Protocol):
     """Every field of an object as a map; of repeated fields the last counts."""
 
     inner: Protocol
+    root = "{"
 
     def schema(self) -> str:
         return f"map<string,{self.inner.schema()}>"
 
     def value(self, raw: Column) -> Column:
-        return F.transform_values(raw, lambda _, v: self.inner.value(v))
+        names = F.reverse(F.map_keys(raw))
+        last = F.filter(F.map_entries(raw), lambda e, i: F.size(names) - F.array_position(names, e["key"]) == i)
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], self.inner.value(e["value"]))))
 
     def errors(self, raw: Column, path: str) -> Column:
         return F.flatten(F.transform(F.coalesce(F.map_values(raw), F.array().cast(f"array<{self.inner.schema()}>")), lambda v: self.inner.errors(v, f"{path}.*")))
@@ -108,11 +125,17 @@ class AnyField(Protocol):
 
 @dataclass
 class Object(Protocol):
-    """Fields by name; required ones make the object nothing where they are, constants must be as given."""
+    """Fields by name; required ones make the object nothing where they are, constants must be as given.
+
+    An optional field that is nothing has its default, if there is one. Of
+    repeated fields the last counts.
+    """
 
     fields: dict[str, Protocol]
     optional: tuple[str, ...] = ()
     having: dict[str, str] = field(default_factory=dict)
+    defaults: dict[str, object] = field(default_factory=dict)
+    root = "{"
 
     def schema(self) -> str:
         parts = {n: p.schema() for n, p in self.fields.items()} | {n: "string" for n in self.having}
@@ -120,6 +143,7 @@ class Object(Protocol):
 
     def value(self, raw: Column) -> Column:
         values = {n: p.value(raw[n]) for n, p in self.fields.items()}
+        values = {n: F.coalesce(v, F.lit(self.defaults[n])) if n in self.defaults else v for n, v in values.items()}
         there = [v.isNotNull() for n, v in values.items() if n not in self.optional]
         there += [raw[n].eqNullSafe(F.lit(v)) for n, v in self.having.items()]
         whole = raw.isNotNull()
@@ -136,12 +160,36 @@ class Object(Protocol):
 
 
 def decoded(text: Column, protocol: Protocol) -> tuple[Column, Column]:
-    """(value, error) of JSON text. An error hides the value; text that isn't JSON is an error."""
-    raw = F.from_json(text, protocol.schema())
+    """(value, error) of JSON text. An error hides the value; text that isn't JSON is an error.
+
+    A document of another kind than the protocol's (an array where an object is
+    read, a number) is nothing.
+    """
+    malformed = text.isNotNull() & F.get_json_object(text, "$").isNull() & (F.trim(text) != "null")
+    if protocol.root is None:
+        raw = F.get_json_object(text, "$")
+    else:
+        raw = F.when(F.substring(F.ltrim(text), 1, 1) == protocol.root, F.from_json(text, protocol.schema()))
     errors = protocol.errors(raw, "$")
-    malformed = text.isNotNull() & F.try_parse_json(text).isNull()
-    error = F.when(malformed, F.lit("not JSON")).when(F.size(errors) > 0, F.array_join(errors, "; "))
-    return F.when(error.isNull(), protocol.value(raw)), error
+    error = F.when(malformed, F.lit("not JSON")).when(raw.isNotNull() & (F.size(errors) > 0), F.array_join(errors, "; "))
+    return F.when(error.isNull() & raw.isNotNull(), protocol.value(raw)), error
+
+
+def first_of(text: Column, protocol: Protocol) -> Column:
+    """The first element of an array that isn't nothing, or the document itself where it is none; an error if there is none."""
+    many, wrong = decoded(text, Each(protocol))
+    one, other = decoded(text, protocol)
+    is_array = F.substring(F.ltrim(text), 1, 1) == "["
+    why = F.coalesce(F.when(is_array, wrong).otherwise(other), F.lit("no element"))
+    found = F.when(is_array, F.get(many, F.lit(0))).otherwise(one)
+    return F.when(found.isNotNull(), found).when(text.isNull(), None).when(F.raise_error(why).cast("boolean"), found)
+
+
+def elements(df: DataFrame, column: str, field_name: str, protocol: Protocol, name: str = "element") -> DataFrame:
+    """One row for each element of an array in a field of each document, in order; documents without it give none, an error is raised."""
+    value, error = decoded(F.col(column), Object({field_name: Each(protocol)}))
+    checked = F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(True)
+    return df.where(checked).withColumn(name, F.explode(value[field_name]))
 
 
 def read(df: DataFrame, column: str, protocol: Protocol) -> DataFrame:
@@ -162,8 +210,12 @@ def combined(text: Column, *protocols: Protocol) -> Column:
     return F.filter(F.array(*(decoded(text, p)[0] for p in protocols)), lambda v: v.isNotNull())
 
 
-def write(value: Column, having: dict[str, str] | None = None) -> Column:
-    """Compact JSON of a struct, constants first; null fields aren't written."""
+def write(value: Column, having: dict[str, str] | None = None, may_be_empty: tuple[str, ...] = ()) -> Column:
+    """Compact JSON of a struct, constants first; null fields, and arrays of may_be_empty without elements, aren't written."""
+    for n in may_be_empty:
+        value = value.withField(n, F.when(F.size(value[n]) > 0, value[n]))
+    own = F.to_json(value)
     if not having:
-        return F.to_json(value)
-    return F.to_json(F.struct(*(F.lit(v).alias(n) for n, v in having.items()), value.alias("value")))
+        return own
+    first = F.to_json(F.struct(*(F.lit(v).alias(n) for n, v in having.items())))
+    return F.when(own == "{}", first).otherwise(F.concat(first.substr(F.lit(1), F.length(first) - 1), F.lit(","), own.substr(F.lit(2), F.length(own))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,34 +20,60 @@ def ordered(batch: DataFrame, key: str = "persistence_id") -> DataFrame:
     return batch.repartition(F.col(key)).sortWithinPartitions("timestamp_ms", key, "sequence_nr")
 
 
-def materialize(log: DataFrame, apply: Apply, checkpoint: str, late: str = "10 seconds", trigger: dict | None = None) -> StreamingQuery:
-    """Apply a streaming log batch by batch, at least once and duplicates within the lateness left out.
+def materialize(log: DataFrame, apply: Apply, checkpoint: str, late: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Apply a streaming log batch by batch, at least once, no event dropped however late.
 
-    Spark's checkpoint keeps the progress: after a failure the same batch comes
-    again under the same number, so an apply function that writes by batch number
-    or by (persistence_id, sequence_nr) is exact.
+    A batch's repeated events are applied once. Events that come again in later
+    batches are applied again, as after a failure the same batch comes again
+    under the same number: an apply function that merges by (persistence_id,
+    sequence_nr) is exact (see upsert_parquet). ``late`` is a memory of repeated
+    events over batches: with it, those within that time are left out before
+    they reach apply, but so are events that come later than it; the view of
+    such a stream needs a replay of their slice.
     """
-    timed = log.withColumn("_time", F.timestamp_millis("timestamp_ms")).withWatermark("_time", late)
-    once = timed.dropDuplicatesWithinWatermark(["persistence_id", "sequence_nr"]).drop("_time")
-    step = lambda batch, number: apply(ordered(batch), number)
+    once = log
+    if late is not None:
+        timed = log.withColumn("_time", F.timestamp_millis("timestamp_ms")).withWatermark("_time", late)
+        once = timed.dropDuplicatesWithinWatermark(["persistence_id", "sequence_nr"]).drop("_time")
+    step = lambda batch, number: apply(ordered(batch.dropDuplicates(["persistence_id", "sequence_nr"])), number)
     return once.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def replay(log: DataFrame, apply: Apply, start_ms: int = 0, end_ms: int | None = None) -> None:
-    """Apply one time slice [start_ms, end_ms) of a log as a batch; slices may run at the same time as different jobs."""
+    """Apply one time slice [start_ms, end_ms) of a log as a batch; slices may run at the same time as different jobs.
+
+    The batch's number is negative and tells the slice, so the same slice again
+    replaces itself and no other.
+    """
     part = log.where(F.col("timestamp_ms") >= start_ms)
-    apply(ordered(part if end_ms is None else part.where(F.col("timestamp_ms") < end_ms)), -1)
+    apply(ordered(part if end_ms is None else part.where(F.col("timestamp_ms") < end_ms)), _number("slice", start_ms, end_ms))
 
 
 def reimport(log: DataFrame, keys: DataFrame, apply: Apply, now_ms: int, rollback_ms: int = 10_000) -> None:
     """Apply some entities' events from the beginning up to now less the rollback, beside the running stream."""
-    apply(ordered(events_of_keys(log, keys, now_ms - rollback_ms)), -1)
+    apply(ordered(events_of_keys(log, keys, now_ms - rollback_ms)), _number("keys", now_ms, uuid.uuid4().hex))
+
+
+def _number(*what: object) -> int:
+    """A negative batch number that stands for these values."""
+    return -1 - int.from_bytes(hashlib.sha256(repr(what).encode()).digest()[:7], "big")
 
 
 def upsert_parquet(spark: SparkSession, path: str, keys: list[str]) -> Apply:
-    """An apply function that appends each batch under its number: a repeated batch replaces itself."""
+    """An apply function that appends each batch under its number: a repeated batch replaces itself, no other one.
+
+    A row may stand in several batches (a replay, an event that came again):
+    ``merged`` reads each once.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
+
+
+def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows of a folder of batches, one for each key: that of the latest stream batch, replays before all of them."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*").select(*columns)

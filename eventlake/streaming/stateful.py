@@ -13,6 +13,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def in_order(parts: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """A key's new rows by their first column, over all the parts that they come in (one trigger's rows of one key)."""
+    whole = pd.concat(list(parts), ignore_index=True).sort_values(columns[0], kind="stable")
+    yield from zip(*(whole[c].tolist() for c in columns))
+
+
 @dataclass
 class Results:
     """What a command leads to: an error, or no change with a reply, or events with a reply; in this order of precedence."""
@@ -35,17 +41,16 @@ class Commands(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         state, last = self.state.get() if self.state.exists() else (self.empty, 0)
         out = []
-        for part in rows:
-            for _, row in part.sort_values("command_nr").iterrows():
-                r = self.handle_command(state, row["command"])
-                if r.error is not None:
-                    out.append((key[0], int(row["command_nr"]), "error", r.error, None, None))
-                elif r.applied or not r.events:
-                    out.append((key[0], int(row["command_nr"]), "already applied" if r.applied else "ok", r.reply, None, None))
-                else:
-                    for event in r.events:
-                        state, last = self.apply(state, event), last + 1
-                        out.append((key[0], int(row["command_nr"]), "ok", r.reply, last, event))
+        for nr, command in in_order(rows, "command_nr", "command"):
+            r = self.handle_command(state, command)
+            if r.error is not None:
+                out.append((key[0], nr, "error", r.error, None, None))
+            elif r.applied or not r.events:
+                out.append((key[0], nr, "already applied" if r.applied else "ok", r.reply, None, None))
+            else:
+                for event in r.events:
+                    state, last = self.apply(state, event), last + 1
+                    out.append((key[0], nr, "ok", r.reply, last, event))
         self.state.update((state, last))
         yield pd.DataFrame(out, columns=["persistence_id", "command_nr", "outcome", "reply", "sequence_nr", "event"])
 
@@ -71,21 +76,19 @@ class Replica(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
         out = []
-        for part in rows:
-            for _, row in part.sort_values("sequence_nr").iterrows():
-                nr, at, event = int(row["sequence_nr"]), int(row["timestamp_ms"]), row["event"]
-                if nr <= last:
-                    out.append((key[0], nr, at, event, "duplicate"))
-                elif nr > last + 1:
-                    self.waiting.updateValue((nr,), (at, event))
-                else:
-                    out.append((key[0], nr, at, event, "appended"))
-                    last = nr
-                    while self.waiting.containsKey((last + 1,)):
-                        at, event = self.waiting.getValue((last + 1,))
-                        self.waiting.removeKey((last + 1,))
-                        last += 1
-                        out.append((key[0], last, at, event, "appended"))
+        for nr, at, event in in_order(rows, "sequence_nr", "timestamp_ms", "event"):
+            if nr <= last:
+                out.append((key[0], nr, at, event, "duplicate"))
+            elif nr > last + 1:
+                self.waiting.updateValue((nr,), (at, event))
+            else:
+                out.append((key[0], nr, at, event, "appended"))
+                last = nr
+                while self.waiting.containsKey((last + 1,)):
+                    at, event = self.waiting.getValue((last + 1,))
+                    self.waiting.removeKey((last + 1,))
+                    last += 1
+                    out.append((key[0], last, at, event, "appended"))
         self.last.update((last,))
         yield pd.DataFrame(out, columns=["persistence_id", "sequence_nr", "timestamp_ms", "event", "outcome"])
 
