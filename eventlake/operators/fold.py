@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -56,28 +58,31 @@ def sole_owners(rights: DataFrame, right: str = "right", target: str = "target")
     return held.where(F.col("lo").eqNullSafe(F.col("hi"))).select(right, F.col("lo").alias(target))
 
 
-def token_bucket(tokens: int, refill_ms: int, burst: int) -> Fold:
-    """Whether each request of a key passes: every refill_ms adds tokens, up to burst; a request takes one."""
-    bucket = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(burst).cast("bigint").alias("value"), F.array().cast("array<struct<at:bigint,granted:boolean>>").alias("done"))
-
-    def step(s: Column, e: Column) -> Column:
-        now = e["at"].cast("bigint")
-        periods = F.when(s["at"].isNull(), F.lit(0)).otherwise(F.floor((now - s["at"]) / refill_ms)).cast("bigint")
-        filled = F.least(F.lit(burst).cast("bigint"), s["value"] + periods * tokens)
-        granted = filled > 0
-        return F.struct(
-            F.when(s["at"].isNull(), now).otherwise(s["at"] + periods * refill_ms).alias("at"), (filled - granted.cast("bigint")).alias("value"),
-            F.concat(s["done"], F.array(F.struct(now.alias("at"), granted.alias("granted")))).alias("done"),
-        )
-
-    return Fold(bucket, step, lambda s: s["done"])
-
-
 def throttle(requests: DataFrame, key: str, at: str, tokens: int, refill_ms: int, burst: int) -> DataFrame:
-    """(key, at, granted) of every request, each key with a bucket of its own."""
-    events = F.array_sort(F.collect_list(F.struct(F.col(at).cast("bigint").alias("at"))))
-    done = requests.groupBy(key).agg(token_bucket(tokens, refill_ms, burst).over(events).alias("done"))
-    return done.select(key, F.explode("done").alias("d")).select(key, F.col("d.at").alias(at), F.col("d.granted").alias("granted"))
+    """(key, at, granted) of every request, each key with a bucket of its own.
+
+    A bucket starts full with ``burst`` tokens; each refill_ms since its last
+    filling add ``tokens``, up to burst; a request takes one if there is one.
+    Requests of one key are gone through in order of time by one task, which
+    holds nothing but the bucket. Null keys share a bucket; a null time is an error.
+    """
+    asked = requests.select(F.col(key), F.col(at).cast("bigint").alias(at))
+    dealt = asked.repartition(F.col(key)).sortWithinPartitions(key, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, filled_at, left = object(), 0, 0
+        for batch in batches:
+            granted = []
+            for who, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if who != here:
+                    here, filled_at, left = who, now, burst
+                periods = (now - filled_at) // refill_ms
+                left, filled_at = min(burst, left + periods * tokens), filled_at + periods * refill_ms
+                granted.append(left > 0)
+                left -= left > 0
+            yield batch.append_column("granted", pa.array(granted, pa.bool_()))
+
+    return dealt.mapInArrow(run, StructType([*asked.schema.fields, StructField("granted", BooleanType())]))
 
 
 def combined_offset(a: Column, b: Column) -> Column:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import chunk_key, chunk_start, java_shard, uuid_start_of, uuid_timestamp, uuid_v5
 from ..functions.text import base64_bytes, base64_line, decode_strict, encode_strict, full_match
 from ..operators import fold, log, runs, visibility
-from ..sources import csv_codec, framing, json_codec, xsd
-from ..tables import read_table
+from ..sources import chunks, csv_codec, framing, json_codec, xsd
+from ..tables import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,9 +126,11 @@ def acl_state(spark, sf_dir):
     return _acl(spark, sf_dir)
 
 
-@query("WITH {LOG}, " + ACL_SQL + ' SELECT "right", min(target) AS target FROM acl GROUP BY 1 HAVING count(DISTINCT target) = 1')
+@query("WITH {LOG}, changes AS (SELECT CAST(floor(value * 50) AS BIGINT) AS \"right\", persistence_id AS target, tag <> 'error' AS granted, timestamp_ms * 1000000 + event_id % 1000000 AS ord FROM log), "
+       'acl AS (SELECT "right", target FROM changes GROUP BY ALL HAVING arg_max(granted, ord)) SELECT "right", min(target) AS target FROM acl GROUP BY 1 HAVING count(DISTINCT target) = 1')
 def acl_sole_owner(spark, sf_dir):
-    return fold.sole_owners(_acl(spark, sf_dir))
+    changes = _log(spark, sf_dir).select(F.floor(F.col("value") * 50).alias("right"), F.col("persistence_id").alias("target"), (F.col("tag") != "error").alias("granted"), (F.col("timestamp_ms") * 1_000_000 + F.col("event_id") % 1_000_000).alias("order"))
+    return fold.sole_owners(fold.acl(changes))
 
 
 @query("WITH {LOG}, " + ACL_SQL + """, users AS (SELECT DISTINCT persistence_id AS "user", CAST(CAST(persistence_id AS BIGINT) % 10 AS VARCHAR) AS grp FROM log)
@@ -269,14 +272,11 @@ def replica_apply(spark, sf_dir):
 SELECT persistence_id, outcome, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1, 2""")
 def command_results(spark, sf_dir):
     """Commands that raise an entity's record: errors are rejected, what isn't above the record is already applied, the rest become events."""
-    start = F.struct(F.lit(-1e300).alias("record"), F.array().cast("array<string>").alias("outcomes"))
-
-    def step(s, e):
-        done = F.when(e["tag"] == "error", "error").when(e["value"] <= s["record"], "already applied").otherwise("ok")
-        return F.struct(F.when(done == "ok", e["value"]).otherwise(s["record"]).alias("record"), F.concat(s["outcomes"], F.array(done)).alias("outcomes"))
-
-    found = fold.fold_by_key(_log(spark, sf_dir), fold.Fold(start, step, lambda s: s["outcomes"]), columns=("tag", "value"))
-    return found.select("persistence_id", F.explode("state").alias("outcome")).groupBy("persistence_id", "outcome").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("persistence_id").orderBy("sequence_nr").rowsBetween(Window.unboundedPreceding, -1)
+    record = F.coalesce(F.max(F.when(F.col("tag") != "error", F.col("value"))).over(before), F.lit(-1e300))
+    found = _log(spark, sf_dir).withColumn("record", record)
+    outcome = F.when(F.col("tag") == "error", "error").when(F.col("value") <= F.col("record"), "already applied").otherwise("ok")
+    return found.groupBy("persistence_id", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 # Codecs
@@ -307,12 +307,89 @@ def json_alternatives(spark, sf_dir):
     return events.withColumn("doc", text).select("event_id", value.alias("v"), error.isNotNull().alias("failed"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("""SELECT doc_id, nullif(text, '') AS text, '"' || source || '";' AS odd, CAST(n_chars AS BIGINT) AS n_chars FROM documents WHERE doc_id IS NOT NULL AND length(text) <= 65535""")
 def csv_roundtrip(spark, sf_dir):
-    nation = read_table(spark, sf_dir, "nation")
-    cols = ["n_nationkey", "n_name", "n_regionkey"]
-    lines = nation.select(csv_codec.line([F.col(c) for c in cols]).alias("line"))
-    return csv_codec.decode(lines, "line", cols, {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}).select(*cols)
+    """Whole texts, with quotes, separators, blanks and line ends, as CSV records and back."""
+    cols = ["doc_id", "text", "odd", "n_chars"]
+    docs = read_table(spark, sf_dir, "documents").where("doc_id is not null and length(text) <= 65535")
+    docs = docs.withColumn("odd", F.concat(F.lit('"'), "source", F.lit('";')))
+    lines = docs.select(csv_codec.line([F.col(c) for c in cols]).alias("line"))
+    back = csv_codec.decode(lines, "line", cols, {"doc_id": "bigint", "text": "string", "odd": "string", "n_chars": "bigint"}, optional=("text",))
+    return back.where("error is null").select(*cols)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a"b|c;' || event_type WHEN 1 THEN '~|' || event_type || chr(13) WHEN 2 THEN 'x' || chr(10) || 'y|~|z' ELSE 'open;' || event_type END AS cells FROM events""")
+def csv_edge_cases(spark, sf_dir):
+    """Records with doubled quotes, quoted separators and line ends, carriage returns, empty cells, a quote that isn't closed."""
+    kind, n = F.col("event_type"), F.col("event_id") % 4
+    record = F.when(n == 0, F.concat(F.lit('"a""b";"c;'), kind, F.lit('"'))).when(n == 1, F.concat(F.lit('"";'), kind, F.lit("\r")))
+    record = record.when(n == 2, F.lit('"x\ny";;z')).otherwise(F.concat(F.lit('"open;'), kind))
+    return read_table(spark, sf_dir, "events").select("event_id", F.array_join(csv_codec.cells(record), "|", "~").alias("cells"))
+
+
+@query("SELECT event_id, CAST(event_id AS BIGINT) AS a, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'none' END AS b FROM events WHERE event_id % 3 <> 0")
+def json_duplicates(spark, sf_dir):
+    """Of repeated fields the last counts, a missing optional one has its default, an object without the required one is left out."""
+    a = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(',"a":"'), "event_id", F.lit('"'))).otherwise("")
+    b = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"b":"'), "event_type", F.lit('"'))).otherwise("")
+    start = F.when(F.col("event_id") % 3 != 0, F.lit('{"a":1,"c":{}')).otherwise('{"c":{}')
+    docs = read_table(spark, sf_dir, "events").select("event_id", F.concat(start, a, b, F.lit("}")).alias("doc"))
+    proto = json_codec.Object({"a": json_codec.Scalar("bigint"), "b": json_codec.Scalar("string")}, optional=("b",), defaults={"b": "none"})
+    return json_codec.read(docs, "doc", proto).select("event_id", "value.a", "value.b")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS BIGINT) END AS object_a, CASE event_id % 5 WHEN 1 THEN 2 END AS n, event_id % 5 = 4 AS failed FROM events")
+def json_roots(spark, sf_dir):
+    """Objects, arrays, numbers and null as whole documents, read as an object and as an array."""
+    n = F.col("event_id") % 5
+    doc = F.when(n == 0, F.concat(F.lit('{"a":'), "event_id", F.lit("}"))).when(n == 1, F.lit('[7,null,"8"]')).when(n == 2, F.lit("5")).when(n == 3, F.lit("null")).otherwise("{")
+    events = read_table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    one, wrong = json_codec.decoded(F.col("doc"), json_codec.Object({"a": json_codec.Scalar("bigint")}))
+    many, _ = json_codec.decoded(F.col("doc"), json_codec.Each(json_codec.Scalar("int")))
+    return events.select("event_id", one["a"].alias("object_a"), F.when(many.isNotNull(), F.size(many)).alias("n"), wrong.isNotNull().alias("failed"))
+
+
+@query("""SELECT event_id, '{"kind":"event","id":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',"tags":["' || event_type || '"]' ELSE '' END || '}' AS doc FROM events""")
+def json_write(spark, sf_dir):
+    """Constants first, empty optional arrays and null fields not written."""
+    tags = F.when(F.col("event_id") % 2 == 0, F.array("event_type")).otherwise(F.array().cast("array<string>"))
+    value = F.struct(F.col("event_id").alias("id"), tags.alias("tags"), F.lit(None).cast("string").alias("gone"))
+    return read_table(spark, sf_dir, "events").select("event_id", json_codec.write(value, {"kind": "event"}, ("tags",)).alias("doc"))
+
+
+@query("""WITH {LOG}, r AS (SELECT persistence_id, sequence_nr, CASE WHEN value > 100 THEN 1 ELSE 0 END AS s, value FROM log),
+m AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY persistence_id ORDER BY sequence_nr) THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY persistence_id ORDER BY sequence_nr) AS run FROM m)
+SELECT persistence_id, min(sequence_nr) AS sequence_nr, CAST(count(*) AS BIGINT) AS n FROM g WHERE s = 1 GROUP BY persistence_id, run
+UNION ALL SELECT persistence_id, sequence_nr, 1 FROM g WHERE s = 0""")
+def runs_through_target(spark, sf_dir):
+    """Each run of rows above a value becomes one row, the others stay."""
+    rows = _log(spark, sf_dir).select("persistence_id", "sequence_nr", "value", F.lit(1).cast("bigint").alias("n"))
+    joined = lambda d: d.groupBy("persistence_id", "run").agg(F.min("sequence_nr").alias("sequence_nr"), F.max("value").alias("value"), F.sum("n").alias("n"))
+    done = runs.run_targets(rows, ["persistence_id"], ["sequence_nr"], F.col("value") > 100, joined)
+    return done.select("persistence_id", "sequence_nr", "n")
+
+
+@query("WITH {LOG} SELECT persistence_id, sequence_nr, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY persistence_id ORDER BY sequence_nr) AS BIGINT) AS total FROM log")
+def running_total(spark, sf_dir):
+    events = log.require_rows(_log(spark, sf_dir))
+    return fold.running(events, ["persistence_id"], ["sequence_nr"], F.floor("value"), "total").select("persistence_id", "sequence_nr", "total")
+
+
+@query("WITH {LOG} SELECT persistence_id, sequence_nr, tag FROM log WHERE tag = 'click' AND timestamp_ms >= epoch_ms(TIMESTAMP '2024-01-05') AND timestamp_ms < epoch_ms(TIMESTAMP '2024-01-12')")
+def stored_slice(spark, sf_dir):
+    """A slice of a log that was numbered and stored by tag and day."""
+    path = new_path(spark, "log")
+    log.store(_log(spark, sf_dir), path)
+    return log.stored(spark, path, "click", 1_704_412_800_000, 1_705_017_600_000).select("persistence_id", "sequence_nr", "tag")
+
+
+@query("WITH {LOG} SELECT persistence_id, sequence_nr, timestamp_ms FROM log WHERE tag = 'purchase'")
+def backup_restore(spark, sf_dir):
+    """A tag's events from a backup of the whole log in chunks."""
+    path = new_path(spark, "backup")
+    chunks.backup(_log(spark, sf_dir), path, 1000)
+    return framing.decode_frames(chunks.restore(spark, path, "purchase"), "message").select("persistence_id", "sequence_nr", "timestamp_ms")
 
 
 @query("""SELECT c_custkey, concat_ws(';', '"' || c_custkey || '"', '"' || replace(c_name, '"', '""') || '"', '"' || c_mktsegment || '"') AS line FROM customer""")
@@ -333,10 +410,11 @@ def uuid_named(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("user_id").distinct().withColumn("uuid", uuid_v5(NAMESPACE, F.col("user_id").cast("string")))
 
 
-@query("WITH {LOG} SELECT event_id, timestamp_ms AS back_ms, true AS ordered FROM log")
+@query("""WITH {LOG}, t AS (SELECT event_id, timestamp_ms, lpad(lower(to_hex((timestamp_ms + 12219292800000) * 10000)), 16, '0') AS h FROM log)
+SELECT event_id, timestamp_ms AS back_ms, h[9:16] || '-' || h[5:8] || '-1' || h[2:4] || '-8080-808080808080' AS uuid FROM t""")
 def uuid_time(spark, sf_dir):
     made = _log(spark, sf_dir).withColumn("uuid", uuid_start_of(F.col("timestamp_ms")))
-    return made.select("event_id", uuid_timestamp(F.col("uuid")).alias("back_ms"), F.col("uuid").endswith("-8080-808080808080").alias("ordered"))
+    return made.select("event_id", uuid_timestamp(F.col("uuid")).alias("back_ms"), "uuid")
 
 
 @query("""WITH RECURSIVE names AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS s FROM events),
@@ -371,10 +449,7 @@ def framing_roundtrip(spark, sf_dir):
     return back.withColumn("event", F.col("event").cast("string"))
 
 
-ORDER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="order"><xs:complexType><xs:sequence>
-<xs:element name="customer" type="xs:string"/><xs:element name="item" maxOccurs="unbounded"><xs:complexType><xs:sequence>
-<xs:element name="part" type="xs:integer"/><xs:element name="quantity" type="xs:integer"/></xs:sequence></xs:complexType></xs:element>
-</xs:sequence><xs:attribute name="id" type="xs:string"/></xs:complexType></xs:element></xs:schema>"""
+ORDER_XSD = Path(__file__).with_name("order.xsd")
 
 
 def _order_documents(spark, sf_dir):
@@ -389,5 +464,30 @@ def _order_documents(spark, sf_dir):
 @query("""WITH i AS (SELECT l_orderkey, string_agg('{"part":"' || l_partkey || '","quantity":"' || CAST(floor(l_quantity) AS BIGINT) || '"}', ',' ORDER BY l_linenumber, l_partkey || '</part><quantity>' || CAST(floor(l_quantity) AS BIGINT) || '<') AS items FROM lineitem GROUP BY 1)
 SELECT o_orderkey, '{"customer":"' || o_custkey || '","item":[' || items || '],"id":"' || o_orderkey || '"}' AS json FROM orders JOIN i ON l_orderkey = o_orderkey""")
 def xml_to_json(spark, sf_dir):
-    schema, _ = xsd.parse(ORDER_XSD)
+    schema, _ = xsd.parse(ORDER_XSD.read_text())
     return _order_documents(spark, sf_dir).select("o_orderkey", xsd.xml_to_json(F.col("doc"), schema, "order").alias("json"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 0 AS valid FROM orders")
+def xml_validate(spark, sf_dir):
+    """Documents against a schema: of every third order the customer is missing."""
+    schema, _ = xsd.parse(ORDER_XSD.read_text())
+    orders = read_table(spark, sf_dir, "orders")
+    body = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("<customer>"), "o_custkey", F.lit("</customer>"))).otherwise("")
+    docs = orders.select("o_orderkey", F.concat(F.lit('<order id="1">'), body, F.lit("<item><part>1</part><quantity>2</quantity></item></order>")).alias("doc"))
+    spark.sparkContext.addFile(str(ORDER_XSD))
+    return docs.select("o_orderkey", xsd.is_valid(F.col("doc"), schema, "order", ORDER_XSD.name).alias("valid"))
+
+
+SPACED_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:p="urn:party" targetNamespace="urn:party"><xs:element name="party"><xs:complexType><xs:sequence>
+<xs:element ref="p:key"/><xs:group ref="p:place" minOccurs="0"/></xs:sequence></xs:complexType></xs:element><xs:element name="key" type="p:Key"/>
+<xs:complexType name="Key"><xs:simpleContent><xs:extension base="xs:string"><xs:attribute name="kind"/></xs:extension></xs:simpleContent></xs:complexType>
+<xs:group name="place"><xs:sequence><xs:element name="nation" type="xs:string" maxOccurs="unbounded"/></xs:sequence></xs:group></xs:schema>"""
+
+
+@query("""SELECT s_suppkey, '{"key":{"kind":"s","value":"' || s_suppkey || '"},"nation":["' || s_nationkey || '"]}' AS json FROM supplier""")
+def xml_groups(spark, sf_dir):
+    """References, groups and text with attributes of a schema with a namespace."""
+    schema, _ = xsd.parse(SPACED_XSD)
+    doc = F.concat(F.lit('<party><key kind="s">'), "s_suppkey", F.lit("</key><nation>"), "s_nationkey", F.lit("</nation></party>"))
+    return read_table(spark, sf_dir, "supplier").select("s_suppkey", xsd.xml_to_json(doc, schema, "party").alias("json"))

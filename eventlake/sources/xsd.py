@@ -6,84 +6,121 @@ are parsed by Spark's own XML functions.
 
 from __future__ import annotations
 
+import io
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-XS = "{http://www.w3.org/2001/XMLSchema}"
-#: Recursive types are followed to this depth.
-DEPTH = 4
+SPACE = "http://www.w3.org/2001/XMLSchema"
+XS = f"{{{SPACE}}}"
+#: How often a recursive type is followed on one path.
+RECURSION = 4
+#: A qualified name: its namespace ("" for none) and local part.
+Name = tuple[str, str]
 
 
 @dataclass
 class Element:
     name: str
-    type: str | ComplexType | None
+    type: Name | ComplexType | None
     many: bool = False
     optional: bool = False
+    #: The global element, or the group of elements, that stands here.
+    ref: Name | None = None
+    group: Name | None = None
 
 
 @dataclass
 class ComplexType:
     elements: list[Element] = field(default_factory=list)
     attributes: list[str] = field(default_factory=list)
-    base: str | None = None
+    base: Name | None = None
     text: bool = False
+    attribute_groups: list[Name] = field(default_factory=list)
 
 
 @dataclass
 class Schema:
-    """Root elements and named types by local name; names are kept per namespace as (namespace, name)."""
+    """Root elements, types and groups by (namespace, name)."""
 
-    elements: dict[tuple[str, str], Element] = field(default_factory=dict)
-    types: dict[tuple[str, str], ComplexType] = field(default_factory=dict)
-    simple: set[tuple[str, str]] = field(default_factory=set)
+    elements: dict[Name, Element] = field(default_factory=dict)
+    types: dict[Name, ComplexType] = field(default_factory=dict)
+    simple: set[Name] = field(default_factory=set)
+    groups: dict[Name, ComplexType] = field(default_factory=dict)
 
     def merge(self, other: Schema) -> Schema:
-        return Schema(self.elements | other.elements, self.types | other.types, self.simple | other.simple)
+        """Both schemas; one name with two different definitions is an error."""
+        for kind in ("elements", "types", "groups"):
+            mine, theirs = getattr(self, kind), getattr(other, kind)
+            for name in mine.keys() & theirs.keys():
+                if mine[name] != theirs[name]:
+                    raise ValueError(f"{name[1]} of namespace {name[0] or '(none)'} is defined twice")
+        return Schema(self.elements | other.elements, self.types | other.types, self.simple | other.simple, self.groups | other.groups)
 
-    def complex(self, kind: str | ComplexType | None) -> ComplexType | None:
-        if isinstance(kind, ComplexType) or kind is None:
-            return kind
-        return next((t for (_, n), t in self.types.items() if n == kind.split(":")[-1]), None)
+    def complex(self, kind: Name | ComplexType | None) -> ComplexType | None:
+        return kind if isinstance(kind, ComplexType) or kind is None else self.types.get(kind)
 
     def children(self, kind: ComplexType) -> list[Element]:
-        base = self.complex(kind.base)
-        return [*(self.children(base) if base else []), *kind.elements]
+        """The child elements of a type: its base's first, groups and references resolved."""
+        base, found = self.complex(kind.base), []
+        for e in kind.elements:
+            if e.group is not None:
+                found += [replace(x, many=x.many or e.many, optional=x.optional or e.optional) for x in self.children(self.groups[e.group])]
+            elif e.ref is not None:
+                found.append(replace(self.elements[e.ref], many=e.many, optional=e.optional))
+            else:
+                found.append(e)
+        return [*(self.children(base) if base else []), *found]
 
     def attributes(self, kind: ComplexType) -> list[str]:
         base = self.complex(kind.base)
-        return list(dict.fromkeys([*(self.attributes(base) if base else []), *kind.attributes]))
+        own = [a for g in kind.attribute_groups for a in self.attributes(self.groups[g])] + kind.attributes
+        return list(dict.fromkeys([*(self.attributes(base) if base else []), *own]))
 
     def unresolved(self) -> list[str]:
-        """Type names that nothing defines."""
-        known = {n for _, n in [*self.types, *self.simple]}
-        used = [e.type for t in self.types.values() for e in t.elements] + [e.type for e in self.elements.values()] + [t.base for t in self.types.values()]
-        return sorted({u for u in used if isinstance(u, str) and u.split(":")[-1] not in known and not u.startswith(("xs:", "xsd:")) and u.split(":")[-1] not in ("string", "integer", "decimal", "date")})
-
-    def element(self, name: str) -> Element:
-        found = next((e for (_, n), e in self.elements.items() if n == name), None)
-        if found is None:
-            raise KeyError(f"no root element {name}")
-        return found
-
-    def struct(self, root: str) -> DataType:
-        return self._type(self.element(root).type, 0)
-
-    def _type(self, kind: str | ComplexType | None, depth: int) -> DataType:
+        """Names that are used and that nothing defines."""
+        holders = [*self.types.values(), *self.groups.values(), ComplexType(list(self.elements.values()))]
+        missing: set[Name] = set()
+        while holders:
+            t = holders.pop()
+            for e in t.elements:
+                missing |= {n for n, known in ((e.ref, self.elements), (e.group, self.groups)) if n and n not in known}
+                if isinstance(e.type, ComplexType):
+                    holders.append(e.type)
+                elif e.type and not self._knows(e.type):
+                    missing.add(e.type)
+            missing |= {g for g in t.attribute_groups if g not in self.groups}
+            if t.base and not self._knows(t.base):
+                missing.add(t.base)
+        return sorted(local for _, local in missing)
+
+    def _knows(self, name: Name) -> bool:
+        return name[0] == SPACE or name in self.types or name in self.simple
+
+    def element(self, name: str, space: str | None = None) -> Element:
+        """A root element by its local name, and namespace where several have it."""
+        found = [e for (s, n), e in self.elements.items() if n == name and space in (None, s)]
+        if len(found) != 1:
+            raise KeyError(f"no root element {name}" if not found else f"{name} is in several namespaces: name one")
+        return found[0]
+
+    def struct(self, root: str, space: str | None = None, recursion: int = RECURSION) -> DataType:
+        """The Spark type of a root element's documents; a type within itself is followed ``recursion`` times on a path, then it is text."""
+        return self._type(self.element(root, space).type, (), recursion)
+
+    def _type(self, kind: Name | ComplexType | None, path: tuple, recursion: int) -> DataType:
         """Complex types are structs: children, attributes, and ``value`` for their text."""
         own = self.complex(kind)
-        if own is None or depth > DEPTH:
+        if own is None or path.count(id(own)) > recursion:
             return StringType()
         fields = []
         for e in self.children(own):
-            inner = self._type(e.type, depth + 1)
-            if depth < DEPTH or not isinstance(inner, StructType):
-                fields.append(StructField(e.name, ArrayType(inner) if e.many else inner))
+            inner = self._type(e.type, (*path, id(own)), recursion)
+            fields.append(StructField(e.name, ArrayType(inner) if e.many else inner))
         fields += [StructField(a, StringType()) for a in self.attributes(own)]
         if own.text:
             fields.append(StructField("value", StringType()))
@@ -91,33 +128,57 @@ class Schema:
 
 
 def parse(document: str) -> tuple[Schema, list[str]]:
-    """One schema document and the places it imports or includes."""
-    top = ET.fromstring(document)
+    """One schema document and the places it imports or includes.
+
+    Prefixes are those that the document declares. An unprefixed name is of the
+    default namespace, or where there is none, of the document's own.
+    """
+    spaces: dict[str, str] = {}
+    events = ET.iterparse(io.BytesIO(document.encode()), ("start-ns", "end"))
+    for kind, what in events:
+        if kind == "start-ns":
+            spaces.setdefault(*what)
+    top = events.root
     space = top.get("targetNamespace", "")
     schema = Schema()
 
+    def qualified(name: str | None) -> Name | None:
+        if not name:
+            return None
+        prefix, _, local = name.rpartition(":")
+        if prefix and prefix not in spaces:
+            raise ValueError(f"the prefix of {name} isn't declared")
+        return (spaces[prefix] if prefix else spaces.get("", space), local)
+
+    def many(node: ET.Element) -> bool:
+        return node.get("maxOccurs", "1") not in ("0", "1")
+
     def element(node: ET.Element) -> Element:
         inner = node.find(XS + "complexType")
-        kind = complex_type(inner) if inner is not None else node.get("type") or node.get("ref")
-        most = node.get("maxOccurs", "1")
-        return Element(node.get("name") or node.get("ref", "").split(":")[-1], kind, most == "unbounded" or int(most) > 1, node.get("minOccurs") == "0")
+        kind = complex_type(inner) if inner is not None else qualified(node.get("type"))
+        ref = qualified(node.get("ref"))
+        return Element(node.get("name") or (ref or ("", ""))[1], kind, many(node), node.get("minOccurs") == "0", ref)
 
     def content(node: ET.Element, into: ComplexType) -> None:
         for child in node:
             if child.tag in (XS + "sequence", XS + "choice", XS + "all", XS + "complexContent", XS + "simpleContent"):
-                many = child.get("maxOccurs", "1") not in ("0", "1")
                 at = len(into.elements)
                 content(child, into)
-                for e in into.elements[at:] if many else []:
+                for e in into.elements[at:] if many(child) else []:
                     e.many = True
                 into.text |= child.tag == XS + "simpleContent"
             elif child.tag in (XS + "extension", XS + "restriction"):
-                into.base = child.get("base")
+                # a restriction of a complex type says again what it keeps
+                into.base = qualified(child.get("base")) if child.tag == XS + "extension" or node.tag == XS + "simpleContent" else None
                 content(child, into)
             elif child.tag == XS + "element":
                 into.elements.append(element(child))
-            elif child.tag == XS + "attribute" and child.get("name"):
-                into.attributes.append(child.get("name"))
+            elif child.tag == XS + "group" and child.get("ref"):
+                into.elements.append(Element("", None, many(child), child.get("minOccurs") == "0", None, qualified(child.get("ref"))))
+            elif child.tag == XS + "attribute" and child.get("use") != "prohibited" and (child.get("name") or child.get("ref")):
+                into.attributes.append(child.get("name") or child.get("ref").split(":")[-1])
+            elif child.tag == XS + "attributeGroup" and child.get("ref"):
+                into.attribute_groups.append(qualified(child.get("ref")))
 
     def complex_type(node: ET.Element) -> ComplexType:
         made = ComplexType(text=node.get("mixed") == "true")
@@ -130,7 +191,9 @@ def parse(document: str) -> tuple[Schema, list[str]]:
             schema.elements[name] = element(node)
         elif node.tag == XS + "complexType":
             schema.types[name] = complex_type(node)
-        elif node.tag == XS + "simpleType":
+        elif node.tag in (XS + "group", XS + "attributeGroup"):
+            schema.groups[name] = complex_type(node)
+        elif node.tag == XS + "simpleType":  # lists and unions too: their text is kept
             schema.simple.add(name)
     return schema, [n.get("schemaLocation") for n in top if n.tag in (XS + "import", XS + "include") and n.get("schemaLocation")]
 
