@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,18 +85,26 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
     if not len(y) or y.all() or not y.any():
         return Model(np.zeros(BUCKETS, np.float32), 4.0 if len(y) and y.all() else -4.0)
     ids: dict[str, int] = {}
-    rows, owner = [], []
+    grid, owner = array("i"), array("i")
     for d, text in enumerate(texts):
         found = [ids.setdefault(w, len(ids)) for w in words_of(text)]
         for i in range(0, len(found), WINDOW):
             part = list(dict.fromkeys(found[i : i + WINDOW]))
-            rows.append(part + [-1] * (WINDOW - len(part)))
+            grid.extend(part + [-1] * (WINDOW - len(part)))
             owner.append(d)
-    grid, owner = np.array(rows, np.int32), np.array(owner)
-    each = [buckets(w) for w in ids]
-    size = np.array([len(e) for e in each])
+    flat, size = array("i"), array("i")
+    for w in ids:
+        own = buckets(w)
+        flat.extend(own)
+        size.append(len(own))
+    del ids
+    grid, owner = np.frombuffer(grid, np.int32).reshape(-1, WINDOW), np.frombuffer(owner, np.int32)
+    size = np.frombuffer(size, np.int32).astype(np.int64)
     first = np.cumsum(size) - size
-    used, flat = np.unique(np.concatenate(each), return_inverse=True)  # only buckets that some text shows are trained
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))  # only buckets that some text shows are trained
+    short = np.zeros(BUCKETS, np.int32)
+    short[used] = np.arange(len(used))
+    flat = short[np.frombuffer(flat, np.int32)]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.05, (DIMS, len(used))).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIMS, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -144,7 +153,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, steps: tuple[int, ..
     for turn, n in enumerate(steps):
         if turn:
             part, base = difference()
-            word = np.append(np.add.reduceat(part[flat], first) / size, 0)  # the last stands for no word
+            word = np.append(np.add.reduceat(part[flat], first) / size, 0).astype(np.float32)  # the last stands for no word
             p = 1 / (1 + np.exp(-np.clip(word[grid].sum(1) / np.maximum((grid >= 0).sum(1), FEW) + base, -60, 60)))
             best = np.zeros(len(y))
             np.maximum.at(best, owner, p)
@@ -191,7 +200,9 @@ def train(
     so_far = F.sum(F.length("_text")).over(Window.orderBy(F.length("_text"), "_id", "_label").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over the few thousand chosen rows
     rows = rows.where(F.length("_text") <= most_chars).withColumn("_sum", so_far).where(F.col("_sum") <= most_chars).drop("_sum").toArrow()
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("_id", "_label", "_text"))))
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+    texts, marks = [r[2] for r in rows], [r[1] for r in rows]
+    del rows
+    return fit(texts, marks)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
