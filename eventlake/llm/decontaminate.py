@@ -119,7 +119,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sizes = [WINDOW, *sorted(r["size"] for r in items.select("size").distinct().collect() if r["size"] != WINDOW)]
     items = items.drop("size")
     d = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("toks")).where("toks is not null")
-    each = d.withColumn("w", F.explode(_windows(F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k)), sizes)))
+    # a column of its own: within the windows' expression it would be made again for each of them
+    each = d.withColumn("hashes", F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k))).withColumn("w", F.explode(_windows(F.col("hashes"), sizes)))
     at = [F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash")]
     if n <= BROADCAST_WINDOWS:
         hit = each.select("key", "id", "toks", *at).join(F.broadcast(items), "hash")
