@@ -55,15 +55,20 @@ def _slot(kind: Column) -> Column:
     return kind.isin("<num>", "<name>", "<unit>")
 
 
-def _windows(hashes: Column, sizes: list[int]) -> Column:
-    """(place, hash) of each window of these numbers of token hashes; its size is part of a shorter one's hash."""
+def _windows(hashes: Column, size: int = WINDOW) -> Column:
+    """Hash of each window of so many token hashes; a size other than WINDOW is part of the hash."""
+    n, own = F.size(hashes) - size, [] if size == WINDOW else [F.lit(size)]
+    made = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(hashes, i + 1, size), *own))
+    return F.when(n >= 0, made).otherwise(F.array().cast("array<bigint>"))
 
-    def of(size: int) -> Column:
-        n = F.size(hashes) - size
-        made = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, size), *([] if size == WINDOW else [F.lit(size)])).alias("hash"), F.lit(size).alias("size"))
-        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), made)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint,size:int>>"))
 
-    return of(sizes[0]) if len(sizes) == 1 else F.concat(*map(of, sizes))
+def _places(hashes: Column, k: Column, sizes: list[int]) -> Column:
+    """Where the k-th window begins of all windows of the sizes, one size behind the other."""
+    place, before = F.when(F.lit(False), k), F.lit(0)
+    for size in sizes:
+        n = F.greatest(F.size(hashes) - size + 1, F.lit(0))
+        place, before = place.when(k < before + n, k - before), before + n
+    return place
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -79,11 +84,10 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     plain = t.withColumn("toks", F.transform("toks", lambda x: F.regexp_replace(x, _NAME, "")))
     t = t.union(plain).distinct().withColumn("kinds", kinds(F.col("toks")))
     t = t.withColumn("hashes", F.transform("kinds", lambda k: F.xxhash64(k)))
-    short = F.size("hashes") < WINDOW
-    one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("hashes", F.size("hashes")).alias("hash"), F.size("hashes").alias("size")))
-    t = t.select("item", "toks", "kinds", F.explode(F.when(short, one).otherwise(_windows(F.col("hashes"), [WINDOW]))).alias("w"))
-    cut = lambda c: F.slice(c, F.col("w.pos") + 1, F.col("w.size"))
-    t = t.select("item", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"), F.col("w.size").alias("size"), cut("toks").alias("itoks"), cut("kinds").alias("ikinds"))
+    one = F.array(F.xxhash64("hashes", F.size("hashes")))
+    t = t.select("item", "toks", "kinds", F.least(F.size("hashes"), F.lit(WINDOW)).alias("size"), F.posexplode(F.when(F.size("hashes") < WINDOW, one).otherwise(_windows(F.col("hashes")))).alias("ipos", "hash"))
+    cut = lambda c: F.slice(c, F.col("ipos") + 1, F.col("size"))
+    t = t.select("item", "ipos", "hash", "size", cut("toks").alias("itoks"), cut("kinds").alias("ikinds"))
     t = t.where(F.size(F.filter("ikinds", lambda k: ~_slot(k))) >= LITERALS)
     return t.join(t.groupBy("item").agg(F.countDistinct("ipos").alias("n_item")), "item")
 
@@ -120,12 +124,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = items.drop("size")
     d = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("toks")).where("toks is not null")
     # a column of its own: within the windows' expression it would be made again for each of them
-    each = d.withColumn("hashes", F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k))).withColumn("w", F.explode(_windows(F.col("hashes"), sizes)))
-    at = [F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash")]
+    d = d.withColumn("hashes", F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k)))
+    if len(sizes) == 1:
+        each = d.select("key", "id", "toks", F.posexplode(_windows(F.col("hashes"))).alias("pos", "hash"))
+    else:
+        each = d.select("key", "id", "toks", "hashes", F.posexplode(F.concat(*(_windows(F.col("hashes"), x) for x in sizes))).alias("k", "hash"))
+        each = each.select("key", "id", "toks", _places(F.col("hashes"), F.col("k"), sizes).alias("pos"), "hash")
+    d = d.drop("hashes")
     if n <= BROADCAST_WINDOWS:
-        hit = each.select("key", "id", "toks", *at).join(F.broadcast(items), "hash")
+        hit = each.join(F.broadcast(items), "hash")
     else:  # no text goes through the shuffle of windows
-        hit = written(each.select("key", *at).join(items, "hash").distinct(), "hits")
+        hit = written(each.select("key", "pos", "hash").join(items, "hash").distinct(), "hits")
         hit = hit.join(d.join(hit.select("key").distinct(), "key", "left_semi"), "key")
     hit = hit.select("key", "id", "item", "pos", "ipos", "n_item", (F.col("pos") - F.col("ipos")).alias("offset"), F.slice("toks", F.col("pos") + 1, F.size("itoks")).alias("dtoks"), "itoks", "ikinds")
     three = F.arrays_zip(F.col("ikinds").alias("k"), F.col("itoks").alias("i"), F.col("dtoks").alias("d"))
