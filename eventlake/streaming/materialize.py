@@ -6,6 +6,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -62,18 +63,26 @@ def _number(*what: object) -> int:
 def upsert_parquet(spark: SparkSession, path: str, keys: list[str]) -> Apply:
     """An apply function that appends each batch under its number: a repeated batch replaces itself, no other one.
 
-    A row may stand in several batches (a replay, an event that came again):
-    ``merged`` reads each once.
+    Rows whose keys another batch has written (a replay, an event that came
+    again) are left out; only the key columns of the others are read for that.
+    Batches that run at the same time may both write a row: ``merged`` reads it once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.dropDuplicates(keys)
+        try:
+            known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != number).select(*keys)
+            rows = rows.join(known, keys, "left_anti")
+        except AnalysisException as missing:  # the first batch
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
 
 
 def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The rows of a folder of batches, one for each key: that of the latest stream batch, replays before all of them."""
+    """The rows of a folder of batches, one for each key: that of the highest batch number, replays before all stream batches."""
     rows = spark.read.option("basePath", path).parquet(path)
     columns = [c for c in rows.columns if c != "batch"]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*").select(*columns)

@@ -57,8 +57,8 @@ def values(spark, protocol, *texts):
 
 def test_json_repeated_fields_and_roots(spark):
     one = j.Object({"a": j.Scalar("int")})
-    got = values(spark, one, '{"a":1,"a":2}', "5", "[1]", '"x"', "null", ' {"a":"3"}', "{", '{"a":1}}')
-    assert [v.a if v else None for v, _ in got] == [2, None, None, None, None, 3, None, 1] or got[7][1] is not None
+    got = values(spark, one, '{"a":1,"a":2}', "5", "[1]", '"x"', "null", ' {"a":"3"}', "{")
+    assert [v.a if v else None for v, _ in got] == [2, None, None, None, None, 3, None]
     assert [e for _, e in got[:7]] == [None] * 6 + ["not JSON"]
     assert values(spark, j.AnyField(j.Scalar("int")), '{"k":1,"m":5,"k":2}')[0][0] == {"m": 5, "k": 2}
     assert values(spark, j.Each(j.Scalar("int")), '[1,null,"3"]', "{}", "[]") == [([1, 3], None), (None, None), ([], None)]
