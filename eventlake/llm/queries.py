@@ -13,7 +13,7 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokeniz
 #: Stands for a secret that a real run reads from its key store.
 KEY = "example key, replace in production"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+PROBE = "SELECT -7L AS conv_id, n AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(n, role)"
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,7 @@ def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.expand(turns.unionByName(probe)))
+    return chat.digests(chat.expand(turns.unionByName(spark.sql(PROBE))))
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
