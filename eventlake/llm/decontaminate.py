@@ -28,25 +28,25 @@ UNITS = (
 ).split()
 #: Marks a name's first letter: a capital behind a small letter, digit or comma and one space (not at a sentence's start).
 _NAME = "\u0002"
-_TOKEN = rf"{_NAME}?[\p{{L}}\p{{M}}]+|[0-9]++(?:[.,:/][0-9]++)*+"
+_TOKEN = rf"{_NAME}?[\p{{L}}\p{{M}}]++|[0-9]++(?:[.,:/][0-9]++)*+"
 
 
 def tokens(text: Column) -> Column:
     """The text's words and numbers in order, names marked."""
-    marked = F.regexp_replace(F.regexp_replace(text, _NAME, " "), r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", _NAME)
+    # the space is looked for first: a pattern that begins with a look behind is tried at every place
+    marked = F.regexp_replace(F.replace(text, F.lit(_NAME), F.lit(" ")), r" (?=\p{Lu})(?<=[\p{Ll}\p{N},;] )", f" {_NAME}")
     return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
 
 
 def kinds(toks: Column) -> Column:
     """Each token's canonical form: <num>, <name>, <unit> or the word in lower case."""
 
+    def number(t: Column) -> Column:
+        return (t >= "0") & (t < ":")  # the colon stands right behind the digits
+
     def one(t: Column, i: Column) -> Column:
-        return (
-            F.when(t.rlike("^[0-9]"), "<num>")
-            .when(t.startswith(_NAME), "<name>")
-            .when(F.lower(t).isin(UNITS) & (i > 0) & F.coalesce(F.get(toks, i - 1).rlike("^[0-9]"), F.lit(False)), "<unit>")
-            .otherwise(F.lower(t))
-        )
+        behind = (i > 0) & F.coalesce(number(F.get(toks, i - 1)), F.lit(False))
+        return F.when(number(t), "<num>").when(t.startswith(_NAME), "<name>").when(behind & F.lower(t).isin(UNITS), "<unit>").otherwise(F.lower(t))
 
     return F.transform(toks, one)
 
@@ -62,11 +62,11 @@ def _windows(hashes: Column, size: int = WINDOW) -> Column:
     return F.when(n >= 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
-def _places(hashes: Column, k: Column, sizes: list[int]) -> Column:
-    """Where the k-th window begins of all windows of the sizes, one size behind the other."""
+def _places(tokens: Column, k: Column, sizes: list[int]) -> Column:
+    """Where the k-th window of so many tokens begins, of all windows of the sizes, one size behind the other."""
     place, before = F.when(F.lit(False), k), F.lit(0)
     for size in sizes:
-        n = F.greatest(F.size(hashes) - size + 1, F.lit(0))
+        n = F.greatest(tokens - size + 1, F.lit(0))
         place, before = place.when(k < before + n, k - before), before + n
     return place
 
@@ -122,20 +122,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     n = items.count()
     sizes = [WINDOW, *sorted(r["size"] for r in items.select("size").distinct().collect() if r["size"] != WINDOW)]
     items = items.drop("size")
-    d = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("toks")).where("toks is not null")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(_key(id_col, text_col).alias("key"), F.xxhash64(text).alias("same"), F.col(id_col).alias("id"), text.alias("text")).where("text is not null")
+    d = texts.select("key", "same", tokens(F.col("text")).alias("toks"))
     # a column of its own: within the windows' expression it would be made again for each of them
-    d = d.withColumn("hashes", F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k)))
+    d = d.select("key", "same", F.transform(kinds(F.col("toks")), lambda k: F.xxhash64(k)).alias("hashes"))
     if len(sizes) == 1:
-        each = d.select("key", "id", "toks", F.posexplode(_windows(F.col("hashes"))).alias("pos", "hash"))
+        each = d.select("key", "same", F.posexplode(_windows(F.col("hashes"))).alias("pos", "hash"))
     else:
-        each = d.select("key", "id", "toks", "hashes", F.posexplode(F.concat(*(_windows(F.col("hashes"), x) for x in sizes))).alias("k", "hash"))
-        each = each.select("key", "id", "toks", _places(F.col("hashes"), F.col("k"), sizes).alias("pos"), "hash")
-    d = d.drop("hashes")
-    if n <= BROADCAST_WINDOWS:
-        hit = each.join(F.broadcast(items), "hash")
-    else:  # no text goes through the shuffle of windows
-        hit = written(each.select("key", "pos", "hash").join(items, "hash").distinct(), "hits")
-        hit = hit.join(d.join(hit.select("key").distinct(), "key", "left_semi"), "key")
+        each = d.withColumn("n", F.size("hashes")).select("key", "same", "n", F.posexplode(F.concat(*(_windows(F.col("hashes"), x) for x in sizes))).alias("k", "hash"))
+        each = each.select("key", "same", _places(F.col("n"), F.col("k"), sizes).alias("pos"), "hash")
+    # windows go without their texts, which only those with a hit need afterwards
+    hit = written(each.join(F.broadcast(items) if n <= BROADCAST_WINDOWS else items.hint("merge"), "hash").distinct(), "hits")
+    own = texts.join(hit.select("key", "same").distinct(), ["key", "same"], "left_semi").dropDuplicates(["key", "same"])
+    hit = hit.join(own.withColumn("toks", tokens(F.col("text"))), ["key", "same"])
     hit = hit.select("key", "id", "item", "pos", "ipos", "n_item", (F.col("pos") - F.col("ipos")).alias("offset"), F.slice("toks", F.col("pos") + 1, F.size("itoks")).alias("dtoks"), "itoks", "ikinds")
     three = F.arrays_zip(F.col("ikinds").alias("k"), F.col("itoks").alias("i"), F.col("dtoks").alias("d"))
     pairs = F.transform(F.filter(three, lambda t: _slot(t["k"])), lambda t: F.struct(t["k"].alias("k"), F.lower(t["i"]).alias("i"), F.lower(t["d"]).alias("d")))

@@ -84,3 +84,10 @@ def test_shuffled_plan_agrees(spark, data, monkeypatch):
     near = sorted(map(str, d.matches(docs, bench).collect()))
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", -1)
     assert sorted(map(str, d.matches(docs, bench).collect())) == near and near
+
+
+def test_rows_of_one_id_and_repeats(spark):
+    """Rows that share an id are one document, read each by its own text; repeated rows change nothing."""
+    docs = [(1, "Nothing of that kind here."), (1, "Before it: " + ITEM), (1, "Before it: " + ITEM), (2, None), (None, ITEM), (3, "")]
+    _, _, found = run(spark, docs, [(1, ITEM)])
+    assert sorted((str(r.doc_id), r.item_id, r.consistency, r.verbatim) for r in found.values()) == [("1", 1, 1.0, True), ("None", 1, 1.0, True)]
