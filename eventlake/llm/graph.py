@@ -24,6 +24,12 @@ def _small_star(edges: DataFrame, most: int) -> DataFrame:
     return tied.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: nobody has two parents, or is a parent and has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("child")).union(edges.select("b", F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("child").alias("parents"), F.min("child").alias("least")).where("parents > 1 or parents = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); the component is its smallest node.
 
@@ -34,12 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     most = crowd(now.count(), 256)
-    seen = None
-    while True:
+    settled = False
+    while not settled:
         now = written(_small_star(written(_large_star(now, most), "edges"), most), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+        settled = _settled(now)
     stars = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component")).distinct()

@@ -7,8 +7,10 @@ maximum and agree about as often as the sets do. Four registers make a band;
 documents meet that agree in a band. In the first turns a member meets a few
 others of its bucket (heads of blocks, and neighbours under several orders), which
 brings nearly all that link into one component; in the last one those outside a
-bucket's largest component meet all others, unless there are many of both. The
-work is linear in a bucket's size. A pair goes on to the exact test unless the joint likelihood of its
+bucket's largest component meet all others, so that no pair of a bucket stays
+undecided. Where a bucket holds many of both, they meet block by block: a task
+compares the registers of two blocks and gives only the pairs that are worth a
+test. A pair goes on to the exact test unless the joint likelihood of its
 registers all but excludes the wanted similarity.
 """
 
@@ -31,11 +33,13 @@ BASE, RATE = 1.02, 20.0
 #: A pair is dropped untested when the likelihood of the wanted similarity is below exp(-SURE) of the best one.
 SURE = 9.0
 #: Turns in which a member meets a few others of a bucket, and how many bands on the order of each one begins.
-TURNS, TURN = 4, 7
-#: Members that one head of a block meets, and up to which all of a bucket meet in the end.
+TURNS, TURN = 2, 7
+#: Members that one head of a block meets, and up to which all of a bucket meet as rows in the end.
 CROWD = 64
-#: Members outside of a bucket's largest component, up to which they meet all others in the end.
+#: Members outside of a bucket's largest component, up to which they meet all others as rows in the end.
 FEW = 8
+#: Members of a block; beyond the two numbers above, blocks meet in the end.
+BLOCK = 1024
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _TIMES = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -106,22 +110,69 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     )
 
 
+def _worth(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the pairs whose registers and set sizes don't all but exclude the wanted similarity."""
+    grid = np.linspace(0, 1, 81)[None, :]
+    keep = np.flatnonzero((a == b).sum(1) >= _agreeing(percent))
+    a, b, na, nb = a[keep], b[keep], na[keep], nb[keep]
+    wanted = log_likelihood(a, b, na, nb, np.full((1, 1), percent / 100))[:, 0]
+    curve = log_likelihood(a, b, na, nb, grid)
+    sure = (wanted < curve.max(1) - SURE) & (grid[0][curve.argmax(1)] < percent / 100)
+    return keep[~sure]
+
+
+def _agreeing(percent: int) -> float:
+    """Equal registers that any pair worth a test has: six deviations and more below the expected number."""
+    return REGISTERS * (percent / 100 - 0.25)
+
+
+def _read_registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
 def _likely(percent: int):
     """Pairs (a, b) whose registers (ra, rb) and set sizes (na, nb) don't all but exclude the wanted similarity."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = np.linspace(0, 1, 81)[None, :]
         for batch in rows:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                keep = np.flatnonzero((a == b).sum(1) >= REGISTERS * (percent / 100 - 0.25))  # six deviations and more
-                a, b, na, nb = a[keep], b[keep], na[keep], nb[keep]
-                wanted = log_likelihood(a, b, na, nb, np.full((1, 1), percent / 100))[:, 0]
-                curve = log_likelihood(a, b, na, nb, grid)
-                sure = (wanted < curve.max(1) - SURE) & (grid[0][curve.argmax(1)] < percent / 100)
-                yield part.select(["a", "b"]).take(pa.array(keep[~sure]))
+                a, b = (_read_registers(part.column(c)) for c in ("ra", "rb"))
+                yield part.select(["a", "b"]).take(pa.array(_worth(a, b, na, nb, percent)))
+
+    return run
+
+
+def _blocks(percent: int):
+    """Of a block of outsiders and a block of members of one bucket: the pairs (a, b) that are worth a test.
+
+    A pair that agrees in an earlier band too is left to that band's bucket.
+    """
+
+    def run(outside: pa.Table, members: pa.Table) -> pa.Table:
+        found = [np.empty((2, 0), np.int64)]
+        if outside.num_rows and members.num_rows:
+            (xi, xc, xn), (yi, yc, yn) = ([t.column(c).to_numpy() for c in ("id", "component", "n")] for t in (outside, members))
+            x, y = _read_registers(outside.column("regs")), _read_registers(members.column("regs"))
+            columns, band, main = np.ascontiguousarray(y.T), outside.column("band")[0].as_py(), members.column("main")[0].as_py()
+            for at in range(0, len(x), 64):
+                i = slice(at, at + 64)
+                same = np.zeros((len(x[i]), len(y)), np.uint8)
+                for mine, theirs in zip(x[i].T, columns):
+                    same += mine[:, None] == theirs
+                ok = (same >= _agreeing(percent)) & (xc[i, None] != yc) & ((yc == main) | (xi[i, None] < yi))
+                ok &= 100 * np.minimum(xn[i, None], yn) >= percent * np.maximum(xn[i, None], yn)
+                p, q = np.nonzero(ok)
+                p += at
+                for k in range(0, len(p), 4000):
+                    u, v = p[k : k + 4000], q[k : k + 4000]
+                    first = (x[u] == y[v]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+                    u, v = u[first], v[first]
+                    keep = _worth(x[u], y[v], xn[u].astype(float), yn[v].astype(float), percent)
+                    found.append(np.sort(np.stack([xi[u[keep]], yi[v[keep]]]), axis=0))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -193,24 +244,33 @@ def candidates(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def remaining(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs (a, b, na, nb, ra, rb) of a bucket's members that aren't in one component yet: all of them, in most buckets.
+    """Pairs (a, b) worth a test of a bucket's members that aren't in one component yet, all of them.
 
     A member outside of its bucket's largest component is an outsider. Outsiders
-    meet every member of other components where the bucket has up to ``FEW``
-    outsiders or ``CROWD`` members: so many pairs a member at most. The parts
-    (salts) of a crowded bucket are met one by one.
+    meet every member of other components: as rows where the bucket has up to
+    ``FEW`` outsiders or ``CROWD`` members, so many pairs a member at most; else
+    in blocks of about ``BLOCK`` outsiders and ``BLOCK`` members, each pair of
+    blocks in one group. The parts (salts) of a crowded bucket are met one by one.
     """
     each = members.groupBy("key", "component").agg(F.count("*").alias("n_own"))
-    main = each.groupBy("key").agg(F.max_by("component", F.struct("n_own", "component")).alias("main"), F.max("n_own").alias("n_main"), F.sum("n_own").alias("size"))
-    main = main.where((F.col("size") > F.col("n_main")) & ((F.col("size") - F.col("n_main") <= FEW) | (F.col("size") <= CROWD)))
+    main = each.groupBy("key").agg(F.max_by("component", F.struct("n_own", "component")).alias("main"), F.max("n_own").alias("n_main"), F.sum("n_own").alias("size")).where("size > n_main")
     open_ = written(join_crowded(members, main, ["key"], F.col("size") > most), "open")
+    few = (F.col("size") - F.col("n_main") <= FEW) | (F.col("size") <= CROWD)
     whole = F.struct("id", "component", "n", "regs")
     salts = F.when(F.col("salt").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    some = open_.where("component <> main").select("key", whole.alias("me"), F.explode(salts).alias("salt"))
-    others = open_.select("key", F.coalesce("salt", F.lit(-1)).alias("salt"), "main", whole.alias("other"))
+    some = open_.where(few & (F.col("component") != F.col("main"))).select("key", whole.alias("me"), F.explode(salts).alias("salt"))
+    others = open_.where(few).select("key", F.coalesce("salt", F.lit(-1)).alias("salt"), "main", whole.alias("other"))
     pairs = some.join(others.hint("merge"), ["key", "salt"])
     once = (F.col("other.component") == F.col("main")) | (F.col("me.id") < F.col("other.id"))
-    return pairs.where(once & _met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other")))
+    pairs = pairs.where(once & _met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other"))).mapInArrow(_likely(percent), "a long, b long")
+
+    many, by = open_.where(~few), ["key", "mine", "theirs"]
+    mine, theirs = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("n_main"), F.col("size")))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    some = many.where("component <> main").select("key", "band", "id", "component", "n", "regs", own(mine).alias("mine"), every(theirs).alias("theirs"))
+    others = many.select("key", "main", "id", "component", "n", "regs", every(mine).alias("mine"), own(theirs).alias("theirs"))
+    return pairs.union(some.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(_blocks(percent), "a long, b long"))
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
@@ -237,9 +297,9 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int,
             return all_.withColumn("component", F.col("id"))
         return all_.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    def verified(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs that are worth a test and weren't tested yet, and those of them that link."""
-        likely = pairs.mapInArrow(_likely(percent), "a long, b long").distinct()
+    def verified(likely: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that weren't tested yet, and those of them that link."""
+        likely = likely.distinct()
         likely = written(likely if tested is None else likely.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         linked = likely.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
@@ -248,7 +308,7 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int,
     tested, comp = None, None
     for turn in range(TURNS + 1):
         last = turn == TURNS
-        pairs = remaining(members(comp), percent, most) if last else candidates(members(comp), turn, percent)
+        pairs = remaining(members(comp), percent, most) if last else candidates(members(comp), turn, percent).mapInArrow(_likely(percent), "a long, b long")
         likely, new = verified(pairs, tested)
         tested = likely if tested is None else tested.union(likely)
         if not new.isEmpty():
