@@ -99,8 +99,11 @@ def test_components(spark):
     assert {r.component for r in components(chain).collect()} == {0}
 
 
-def test_crowd_of_near_copies_at_every_distance(spark, monkeypatch):
-    """One large group around the threshold, in buckets that are parted: no link lost."""
+@pytest.mark.parametrize("turns", [0, 2])
+def test_crowd_of_near_copies_at_every_distance(spark, monkeypatch, turns):
+    """One large group around the threshold, in buckets that are parted and meet by blocks in the end: no link lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "TURNS", turns)
     monkeypatch.setattr(near_dup, "crowd", lambda rows, least: 50)
     monkeypatch.setattr(graph, "crowd", lambda rows, least: 5)
     rng = random.Random(5)
