@@ -475,8 +475,7 @@ def xml_validate(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders")
     body = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("<customer>"), "o_custkey", F.lit("</customer>"))).otherwise("")
     docs = orders.select("o_orderkey", F.concat(F.lit('<order id="1">'), body, F.lit("<item><part>1</part><quantity>2</quantity></item></order>")).alias("doc"))
-    spark.sparkContext.addFile(str(ORDER_XSD))
-    return docs.select("o_orderkey", xsd.is_valid(F.col("doc"), schema, "order", ORDER_XSD.name).alias("valid"))
+    return docs.select("o_orderkey", xsd.is_valid(F.col("doc"), schema, "order", xsd.share(spark, ORDER_XSD.read_text())).alias("valid"))
 
 
 SPACED_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:p="urn:party" targetNamespace="urn:party"><xs:element name="party"><xs:complexType><xs:sequence>

@@ -6,12 +6,15 @@ are parsed by Spark's own XML functions.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import tempfile
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
@@ -224,8 +227,22 @@ def xml_to_json(document: Column, schema: Schema, root: str) -> Column:
     return F.to_json(xml_value(document, schema, root))
 
 
+def share(spark: SparkSession, document: str) -> str:
+    """Send a schema document to all executors; the name that they know it by.
+
+    The name is made of the content, so two schemas never meet under one name,
+    whatever their files are called, and the same one may be shared again.
+    """
+    name = f"{hashlib.sha256(document.encode()).hexdigest()}.xsd"
+    if name not in spark.sparkContext.listFiles:  # places of files that were shared before end in their names
+        place = Path(tempfile.mkdtemp(prefix="xsd-")) / name
+        place.write_text(document, encoding="utf-8")
+        spark.sparkContext.addFile(str(place))
+    return name
+
+
 def is_valid(document: Column, schema: Schema, root: str, xsd_path: str) -> Column:
-    """Whether a document is valid by an XSD file that the executors have (spark.sparkContext.addFile)."""
+    """Whether a document is valid by an XSD that the executors have under this name (see share)."""
     kind = StructType([*schema.struct(root).fields, StructField("_bad", StringType())])
     options = {"attributePrefix": "", "valueTag": "value", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "rowTag": root, "rowValidationXSDPath": xsd_path}
     parsed = F.from_xml(document, kind, options)

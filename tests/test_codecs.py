@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from eventlake.sources import chunks, csv_codec, framing, xsd
 from eventlake.sources.json_codec import AnyField, Each, Object, Scalar, any_of, combined, decoded, read, write
 
-DTO = Object({"l": Scalar("bigint"), "i": Scalar("int"), "s": Each(Scalar("string"))}, optional=("i",))
+BOX = Object({"weight": Scalar("bigint"), "floor": Scalar("int"), "labels": Each(Scalar("string"))}, optional=("floor",))
 
 
 def values(spark, protocol, *texts):
@@ -16,20 +16,20 @@ def values(spark, protocol, *texts):
 
 
 def test_json_objects(spark):
-    found = values(spark, DTO, '{"l":42,"i":"7","s":["a","b"]}', '{"l":"42"}', '{"i":1}', '{"l":"x"}', "{", None)
-    assert found[0][0].asDict() == {"l": 42, "i": 7, "s": ["a", "b"]}
-    assert found[1][0].asDict() == {"l": 42, "i": None, "s": []}
+    found = values(spark, BOX, '{"weight":900,"floor":"3","labels":["heavy","glass"]}', '{"weight":"15"}', '{"floor":2}', '{"weight":"much"}', "{", None)
+    assert found[0][0].asDict() == {"weight": 900, "floor": 3, "labels": ["heavy", "glass"]}
+    assert found[1][0].asDict() == {"weight": 15, "floor": None, "labels": []}
     assert found[2] == (None, None)
-    assert found[3] == (None, "Expecting bigint but was x at $.l")
+    assert found[3] == (None, "Expecting bigint but was much at $.weight")
     assert found[4] == (None, "not JSON") and found[5] == (None, None)
-    df = spark.createDataFrame([('{"i":1}',), ('{"l":1}',), ("{",)], "t string")
-    assert read(df, "t", DTO).count() == 2
+    df = spark.createDataFrame([('{"floor":2}',), ('{"weight":8}',), ("{",)], "t string")
+    assert read(df, "t", BOX).count() == 2
 
 
 def test_json_collections(spark):
     assert values(spark, Object({"a": Each(Each(Scalar("int")))}), '{"a":[[1,2],[3,4]]}')[0][0].a == [[1, 2], [3, 4]]
-    assert values(spark, AnyField(Scalar("string")), '{"hello":"world","foo":"bar"}')[0][0] == {"hello": "world", "foo": "bar"}
-    assert values(spark, AnyField(Each(Scalar("int"))), '{"hello":[1,2],"foo":[3,4]}')[0][0] == {"hello": [1, 2], "foo": [3, 4]}
+    assert values(spark, AnyField(Scalar("string")), '{"red":"rot","blue":"blau"}')[0][0] == {"red": "rot", "blue": "blau"}
+    assert values(spark, AnyField(Each(Scalar("int"))), '{"odd":[9,7],"even":[]}')[0][0] == {"odd": [9, 7], "even": []}
 
 
 def test_json_alternatives(spark):
@@ -44,10 +44,10 @@ def test_json_alternatives(spark):
 
 
 def test_csv(spark):
-    df = spark.createDataFrame([('"hello";"15"',), ("world;42",), ('"a ""q"";b";7',), ("short",), (';"5"',), ("x;y",)], "line string")
-    got = csv_codec.decode(df, "line", ["title", "age"], {"title": "string", "age": "int", "gone": "int"}, optional=("age", "gone")).collect()
-    assert [(r.title, r.age, r.error) for r in got] == [("hello", 15, None), ("world", 42, None), ('a "q";b', 7, None), ("short", None, None), ("x", None, "Expecting int in age but was y")]
-    assert csv_codec.decode(df, "line", ["title", "age"], {"title": "string", "age": "int"}).count() == 4
+    df = spark.createDataFrame([('"pear";"31"',), ("plum;8",), ('"a ""q"";b";7',), ("fig",), (';"5"',), ("nut;few",)], "line string")
+    got = csv_codec.decode(df, "line", ["fruit", "count"], {"fruit": "string", "count": "int", "gone": "int"}, optional=("count", "gone")).collect()
+    assert [tuple(r[c] for c in ("fruit", "count", "error")) for r in got] == [("pear", 31, None), ("plum", 8, None), ('a "q";b', 7, None), ("fig", None, None), ("nut", None, "Expecting int in count but was few")]
+    assert csv_codec.decode(df, "line", ["fruit", "count"], {"fruit": "string", "count": "int"}).count() == 4
     line = spark.createDataFrame([('a"b', None, "")], "x string, y int, z string").select(csv_codec.line([F.col("x"), F.col("y"), F.col("z")]).alias("l")).first().l
     assert line == '"a""b";;'
 
@@ -70,12 +70,12 @@ def test_framing():
 
 
 def test_backup_and_restore(spark, tmp_path):
-    rows = [("p", i, 1478698168030 + i * 1000, "T", f"e{i}".encode()) for i in range(1, 8)] + [("q", 1, 1, "U", b"u")]
+    rows = [("p", i, 1_650_000_000_500 + i * 1000, "T", f"e{i}".encode()) for i in range(1, 8)] + [("q", 1, 1, "U", b"u")]
     log = spark.createDataFrame(rows, "persistence_id string, sequence_nr long, timestamp_ms long, tag string, event binary")
     chunks.backup(log, f"{tmp_path}/b", 3)
     kept = chunks.chunks(spark, f"{tmp_path}/b", "T").orderBy("start_ms").collect()
-    assert [r.start_ms for r in kept][0] == 1478698169030 and len(kept) == 3
-    later = chunks.restore(spark, f"{tmp_path}/b", "T", 1478698173030)
+    assert [r.start_ms for r in kept][0] == 1_650_000_001_500 and len(kept) == 3
+    later = chunks.restore(spark, f"{tmp_path}/b", "T", 1_650_000_005_500)
     back = framing.decode_frames(later, "message").orderBy("sequence_nr").collect()
     assert [r.sequence_nr for r in back][-1] == 7 and [r.sequence_nr for r in back][0] in (3, 4) and bytes(back[-1].event) == b"e7"
     assert [r.start_ms for r in chunks.chunks(spark, f"{tmp_path}/b", "T", 1 << 60).collect()] == [kept[-1].start_ms]
@@ -104,10 +104,24 @@ ORDER = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element na
 <xs:element name="quantity" type="xs:positiveInteger"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
 
 
-def test_xml_validation(spark, tmp_path):
-    (tmp_path / "order.xsd").write_text(ORDER)
-    spark.sparkContext.addFile(f"{tmp_path}/order.xsd")
+def test_xml_validation(spark):
     schema, _ = xsd.parse(ORDER)
     docs = ["<order><person>a</person><quantity>3</quantity></order>", "<order><person>a</person><quantity>-3</quantity></order>", "<order><quantity>1</quantity></order>"]
     df = spark.createDataFrame([(d,) for d in docs], "doc string")
-    assert [r.ok for r in df.select(xsd.is_valid(F.col("doc"), schema, "order", "order.xsd").alias("ok")).collect()] == [True, False, False]
+    valid = lambda text: [r.ok for r in df.select(xsd.is_valid(F.col("doc"), schema, "order", xsd.share(spark, text)).alias("ok")).collect()]
+    assert valid(ORDER) == [True, False, False]
+    assert valid(ORDER.replace("positiveInteger", "integer")) == [True, True, False]
+    assert valid(ORDER) == [True, False, False]
+
+
+def test_schema_files_of_one_name(spark, tmp_path):
+    """A user's own file called order.xsd and shared schemas don't get in each other's way."""
+    for n, text in enumerate((ORDER, ORDER.replace("quantity", "number"))):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "order.xsd").write_text(text)
+    spark.sparkContext.addFile(f"{tmp_path}/0/order.xsd")
+    names = [xsd.share(spark, (tmp_path / str(n) / "order.xsd").read_text()) for n in (0, 1)]
+    assert len(set(names)) == 2 and "order.xsd" not in names
+    docs = spark.createDataFrame([("<order><person>a</person><number>3</number></order>",)], "doc string")
+    schema, _ = xsd.parse(ORDER)
+    assert [docs.select(xsd.is_valid(F.col("doc"), schema, "order", n).alias("ok")).first().ok for n in names] == [False, True]

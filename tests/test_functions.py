@@ -51,11 +51,11 @@ def test_java_hash(spark, s):
 
 
 def test_chunk_keys(spark):
-    key = one(spark, ids.chunk_key(F.lit("MyEvent"), F.col("ms")), ms=1478698168030)
-    assert key == "MyEvent-from-2016_11_09_13_29_28_030"
-    assert one(spark, ids.chunk_start(F.col("k")), k=key) == 1478698168030
+    key = one(spark, ids.chunk_key(F.lit("Order"), F.col("ms")), ms=1_650_000_000_500)
+    assert key == "Order-from-2022_04_15_05_20_00_500"
+    assert one(spark, ids.chunk_start(F.col("k")), k=key) == 1_650_000_000_500
     with pytest.raises(Exception, match="no start time"):
-        one(spark, ids.chunk_start(F.col("k")), k="MyEvent")
+        one(spark, ids.chunk_start(F.col("k")), k="Order")
 
 
 def test_times_tags_and_sets(spark):
