@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dup, passages, pii, quality, token_scan, toxicity, urls
-from .shared import new_path, read_table
+from . import bpe, chat, clusters, decontaminate, near_dup, negatives, passages, pii, quality, token_output, token_scan, toxicity, urls
+from .shared import new_path, read_table, written
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+#: A tokenizer file of the same vocabulary, and the id that ends each document in token files.
+TOKENIZER, END = public_tokenizers.path("byte_bpe_50k.json"), 2
 #: Stands for a secret that a real run reads from its key store.
 KEY = "example key, replace in production"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -66,9 +68,30 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has its label moved on first."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds, with each vector's distance."""
+    return clusters.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum in Huffman-coded token files of all documents, read back from them."""
+    path = new_path(spark, "token-files")
+    tokens = written(token_output.encode(read_table(spark, sf_dir, "documents"), TOKENIZER, END), "tokens")
+    token_output.write(tokens, path)
+    return token_output.digests(spark, path)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_template_decontamination, op2_distribution_quality, op3_prefix_targets, op4_feistel_pseudonyms, op5_byte_bpe,
     op6_url_trie, op7_compact_windows, op8_separator_scan, op9_setsketch_duplicates, op10_subword_toxicity,
+    op11_ball_tree_negatives, op12_kd_tree_clusters, op13_huffman_token_files,
 )}
 
 #: Queries that SQL can express; the others are tested against brute force, round trips or held-out labels.
