@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import chunk_key, chunk_start, java_shard, uuid_start_of, uuid_timestamp, uuid_v5
 from ..functions.text import base64_bytes, base64_line, decode_strict, encode_strict, full_match
 from ..operators import fold, log, runs, visibility
-from ..sources import chunks, csv_codec, framing, json_codec, xsd
+from ..sources import chunks, csv_codec, framing, json_codec, xml_events, xsd
 from ..tables import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,3 +490,65 @@ def xml_groups(spark, sf_dir):
     schema, _ = xsd.parse(SPACED_XSD)
     doc = F.concat(F.lit('<party><key kind="s">'), "s_suppkey", F.lit("</key><nation>"), "s_nationkey", F.lit("</nation></party>"))
     return read_table(spark, sf_dir, "supplier").select("s_suppkey", xsd.xml_to_json(doc, schema, "party").alias("json"))
+
+
+# XML by qualified name
+
+#: Parts of two makers: tags of one local name in two namespaces, some of them deeper.
+HOME, AWAY = "urn:home", "urn:away"
+
+
+def _party_documents(spark, sf_dir):
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    key, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
+    head = F.concat(F.lit(f'<h:parts xmlns:h="{HOME}" xmlns:w="{AWAY}"><h:part size="'), size, F.lit('">'), name, F.lit("</h:part>"))
+    deep = F.when(key % 2 == 0, F.concat(F.lit("<group><w:part>"), key, F.lit("</w:part><h:part><h:part>inner</h:part></h:part></group>"))).otherwise(F.lit('<w:part size="0"/>'))
+    return parts.select("p_partkey", F.concat(head, deep, F.lit("</h:parts>")).alias("doc"))
+
+
+@query("""SELECT p_partkey, CAST(2 AS BIGINT) AS tag, '<h:part xmlns:h="urn:home" size="' || p_size || '">' || p_name || '</h:part>' AS doc FROM part
+UNION ALL SELECT p_partkey, CAST(9 AS BIGINT), '<h:part xmlns:h="urn:home"><h:part>inner</h:part></h:part>' FROM part WHERE p_partkey % 2 = 0""")
+def xml_select(spark, sf_dir):
+    """Every outermost tag of one namespace and name, at any depth, as a document of its own."""
+    events = xml_events.events(_party_documents(spark, sf_dir), "doc")
+    picked = events.withColumn("tag", xml_events.sub_tag(F.col("event"), xml_events.qname("part", HOME))).where("tag is not null")
+    return xml_events.documents(picked, ["p_partkey", "tag"])
+
+
+@query("SELECT p_partkey, '{urn:home}part' AS name, p_name AS text FROM part")
+def xml_any_tag_map(spark, sf_dir):
+    """Bodies of the tags right below the root by qualified name; tags without a body are nothing."""
+    found = xml_events.map_of(xml_events.tags(_party_documents(spark, sf_dir), "doc"), ["p_partkey"], None)
+    return found.select("p_partkey", F.explode("values").alias("name", "text"))
+
+
+@query("""SELECT p_partkey, 'part' AS name, CASE WHEN p_partkey % 2 = 1 THEN '0' ELSE CAST(p_size AS VARCHAR) END AS text FROM part""")
+def xml_attribute_map(spark, sf_dir):
+    """An attribute of the tags right below the root by local name: of two namespaces' tags with one local name the last counts."""
+    found = xml_events.map_of(xml_events.tags(_party_documents(spark, sf_dir), "doc"), ["p_partkey"], None, of="size", local=True)
+    return found.select("p_partkey", F.explode("values").alias("name", "text"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN o_custkey END AS customer, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN CAST(7 AS INTEGER) END AS level,
+nullif(concat_ws('; ', CASE WHEN o_orderkey % 3 = 0 THEN 'Expecting bigint but was c' || o_custkey || ' at 2:' || (12 + length('c' || o_custkey)) END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'Expecting int but was high at 1:21' END), '') AS error FROM orders WHERE o_orderkey % 7 <> 0""")
+def xml_places(spark, sf_dir):
+    """Typed records with errors at a line and column: a body behind its last character, an attribute behind its tag; without the required customer no record."""
+    key = F.col("o_orderkey")
+    level = F.when(key % 5 == 0, F.lit('<order level="high">')).otherwise(F.lit('<order level="7">'))
+    wrong = F.when(key % 3 == 0, "c").otherwise("")
+    body = F.when((key % 7 == 0) & (key % 5 != 0), F.lit("<customer/>")).when(key % 7 == 0, F.lit("<gone/>")).otherwise(F.concat(F.lit("<customer>"), wrong, "o_custkey", F.lit("</customer>")))
+    docs = read_table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0 or o_orderkey % 5 <> 0").select("o_orderkey", F.concat(level, F.lit("\n "), body, F.lit("</order>")).alias("doc"))
+    fields = {"customer": xml_events.Part("customer", "bigint"), "level": xml_events.Part("level", "int", attribute=True)}
+    return xml_events.records(xml_events.tags(docs, "doc"), ["o_orderkey"], fields, "order").drop("tag")
+
+
+@query("""SELECT s_suppkey, '<p:party xmlns:p="urn:home" xmlns:q="urn:away" q:key="' || s_suppkey || '"><p:nation>' || s_nationkey || '</p:nation><q:note xmlns:p="urn:other"><p:x/>a &amp; b</q:note></p:party>' AS doc FROM supplier""")
+def xml_roundtrip(spark, sf_dir):
+    """Documents as events and written again: declarations that hold already go, texts are escaped anew, CDATA and comments are plain text and nothing."""
+    doc = F.concat(
+        F.lit(f'<p:party xmlns:p="{HOME}" xmlns:q="{AWAY}" q:key="'), "s_suppkey", F.lit(f'"><p:nation xmlns:p="{HOME}">'), "s_nationkey",
+        F.lit(f'</p:nation><!-- gone --><q:note xmlns:q="{AWAY}" xmlns:p="urn:other"><p:x></p:x><![CDATA[a & b]]></q:note></p:party>'),
+    )
+    docs = read_table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("doc"))
+    return xml_events.documents(xml_events.events(docs, "doc"), ["s_suppkey"])
