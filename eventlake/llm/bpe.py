@@ -64,14 +64,14 @@ def unpacked(enc: tiktoken.Encoding, ids: bytes | None) -> bytes:
     return enc.decode_bytes(np.frombuffer(ids, "<u4").tolist()) if ids else b""
 
 
-def _slices(rows: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def _slices(rows: Iterator[pa.RecordBatch], column: str, most: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches of few rows and few bytes in a column (one row at least); no value leaves Arrow here."""
     for batch in rows:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, first = np.cumsum(sizes), 0
         while first < batch.num_rows:
             held = int(total[first - 1]) if first else 0
-            last = min(first + ROWS, max(first + 1, int(np.searchsorted(total, held + BYTES, "right"))))
+            last = min(first + most, max(first + 1, int(np.searchsorted(total, held + size, "right"))))
             yield batch.slice(first, last - first)
             first = last
 

@@ -83,8 +83,8 @@ def op12_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place, length and checksum in Huffman-coded token files of all documents, read back from them."""
     path = new_path(spark, "token-files")
-    tokens = written(token_output.encode(read_table(spark, sf_dir, "documents"), TOKENIZER, END), "tokens")
-    token_output.write(tokens, path)
+    tokens = written(token_output.encode(read_table(spark, sf_dir, "documents"), TOKENIZER, END, bits=16), "tokens")
+    token_output.write(tokens, path, bits=16)
     return token_output.digests(spark, path)
 
 

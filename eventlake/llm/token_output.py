@@ -18,20 +18,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _slices
+from .bpe import BYTES, ROWS, _slices, pieces
 from .shared import need_columns, written
 
 #: Ids of a block and of a chunk (longer documents are a chunk of their own), chunks of a file, and ids of a partition when files are written.
 BLOCK, CHUNK, CHUNKS_A_FILE, PART = 512, 1 << 18, 32, 1 << 22
 #: Longest code (more where there are too many ids for it), and how many different ids there may be.
 LIMIT, SYMBOLS = 18, 1 << 22
-#: Distinct words whose ids a worker remembers.
-WORDS = 1 << 18
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Distinct words whose ids a worker remembers, and new ones that are encoded together.
+WORDS, LINES = 3 << 18, 4096
+#: White space besides space and line feed, and the mark that words are cut by; a word that may stand in a line.
+_ODD = r"[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PLAIN = re.compile(r" ?[^ \n]+")
 HEAD, MAGIC = struct.Struct("<4sqqIIIQ"), b"HUF1"
 
 
@@ -41,8 +44,11 @@ HEAD, MAGIC = struct.Struct("<4sqqIIIQ"), b"HUF1"
 class Words:
     """A tokenizer of the tokenizers library that encodes each distinct word of many texts once.
 
-    Words are cut where the byte-level pre-tokenizer always begins a new piece:
-    at a space or line feed behind anything that isn't white space (see bpe).
+    Words end where the byte-level pre-tokenizer always begins a new piece: at a
+    space or line feed behind anything that isn't white space. Words not met before
+    are encoded together, a line each, and told apart by their tokens' bytes: a line
+    feed between two of them is always a token of its own. Texts with other white
+    space are cut more carefully (see bpe.pieces) and encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -51,32 +57,62 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # byte-level: a character a byte
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.first, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each) of words without white space but one leading space."""
+        (ids,) = self._encoded(["\n".join(words)])
+        ends = np.cumsum(self.bytes[ids])
+        stops = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
+        last = np.searchsorted(ends, stops)
+        if (ends[last] != stops).any():
+            raise ValueError("a token reaches over the end of a line")
+        keep = np.ones(len(ids), bool)
+        keep[last[:-1] + 1] = False  # the line feeds
+        return ids[keep], np.diff(last, prepend=-2) - 1
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        odd = [w for w in words if not _PLAIN.fullmatch(w)]
+        found = [self._lines(plain[i : i + LINES]) for i in range(0, len(plain), LINES)]
+        found += [(ids, np.array([len(ids)])) for ids in self._encoded(odd)]
+        size = np.concatenate([n for _, n in found])
+        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(words))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null has none."""
         if len(self.known) > WORDS:
             self._forget()
-        split = [_CUT.split(t) if t else [] for t in texts]
-        new = list({w: None for words in split for w in words if w not in self.known})
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.array([len(f) for f in found], np.int64)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
-        return [self._joined(words) for words in split]
-
-    def _joined(self, words: list[str]) -> np.ndarray:
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), "([^ \n])([ \n])", "\\1\0\\2")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         size = self.size[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.first[which] - ends + size, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[which] - ends[:-1], size)]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
+        out = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.concatenate(self._encoded(list(pieces(texts[i].as_py()))))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -84,21 +120,26 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): each whole text's ids by a tokenizer file, without special tokens, and the end id; packed as little-endian 32-bit integers.
+def _type(bits: int) -> str:
+    return {16: "<u2", 32: "<u4"}[bits]
 
-    Null and empty texts have the end id only. A null document id stays null. Rows
-    are encoded one by one: ties, repeated rows and empty tables need no rule;
-    other columns are ignored.
+
+def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", bits: int = 32) -> DataFrame:
+    """(id, ids): each whole text's ids by a tokenizer file, without special tokens, and the end id; packed as little-endian integers of 32 bits (or 16).
+
+    Null and empty texts have the end id only. With 16 bits an id that needs more
+    is an error. A null document id stays null. Rows are encoded one by one: ties,
+    repeated rows and empty tables need no rule; other columns are ignored.
     """
     need_columns(docs, id_col, text_col)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
-        for part in _slices(rows, "text"):
-            coded = words.encode([t or "" for t in part.column("text").to_pylist()])
-            ids = pa.array([np.append(c, np.uint32(end)).astype("<u4").tobytes() for c in coded], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("id"), ids], ["id", "ids"])
+        for part in _slices(rows, "text", 4 * ROWS, 2 * BYTES):
+            coded = [np.append(c, np.uint32(end)) for c in words.encode(part.column("text"))]
+            if bits == 16 and any(c.max() >= 1 << 16 for c in coded):
+                raise ValueError("an id needs more than 16 bits")
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([c.astype(_type(bits)).tobytes() for c in coded], pa.binary())], ["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
 
@@ -106,13 +147,13 @@ def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
 # Codes
 
 
-def counts(tokens: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """(symbol, n) of packed 32-bit ids; a partition adds its own up first."""
+def counts(tokens: DataFrame, ids_col: str = "ids", bits: int = 32) -> DataFrame:
+    """(symbol, n) of packed ids; a partition adds its own up first."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for part in _slices(rows, ids_col):
-            ids = np.frombuffer(b"".join(v.as_py() or b"" for v in part.column(ids_col)), "<u4")
+            ids = np.frombuffer(b"".join(v.as_py() or b"" for v in part.column(ids_col)), _type(bits))
             if len(ids):
                 if ids.max() >= SYMBOLS:
                     raise ValueError(f"ids must be less than {SYMBOLS}")
@@ -158,7 +199,8 @@ class Codes:
         room = 1 << (self.width - self.lengths)
         self.starts = np.cumsum(room) - room
         self.codes = self.starts >> (self.width - self.lengths)
-        self.by_symbol = np.argsort(self.symbols, kind="stable")
+        self.place = np.full(int(self.symbols.max(initial=0)) + 2, -1, np.int32)  # of each symbol; the last is no symbol's
+        self.place[self.symbols] = np.arange(len(order))
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length for each value of the next ``width`` bits; length 0 where no code begins so."""
@@ -170,8 +212,8 @@ class Codes:
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray, int]:
         """(codes, bit offset of each block, number of bits)."""
-        at = self.by_symbol[np.minimum(np.searchsorted(self.symbols[self.by_symbol], ids), len(self.symbols) - 1)]
-        if (self.symbols[at] != ids).any():
+        at = self.place[np.minimum(ids, len(self.place) - 1)]
+        if (at < 0).any():
             raise ValueError("an id has no code")
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
@@ -214,7 +256,7 @@ def _chunk(docs: list[tuple[int | None, np.ndarray]], part: int, before: int, co
     return HEAD.pack(MAGIC, part, before, len(docs), len(offsets), codes.width, len(ids)) + names + sizes + offsets.astype("<u8").tobytes() + struct.pack("<Q", len(data)) + data
 
 
-def _write_chunks(shared, chunk: int):
+def _write_chunks(shared, chunk: int, bits: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part, before, held, docs = Codes(*shared.value), TaskContext.get().partitionId(), 0, 0, []
 
@@ -223,7 +265,7 @@ def _write_chunks(shared, chunk: int):
 
         for batch in _slices(rows, "ids"):
             for name, value in zip(batch.column("id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(value.as_py() or b"", "<u4")
+                ids = np.frombuffer(value.as_py() or b"", _type(bits))
                 if docs and held + len(ids) > chunk:
                     yield packed()
                     before, held, docs = before + held, 0, []
@@ -235,8 +277,8 @@ def _write_chunks(shared, chunk: int):
     return run
 
 
-def write(tokens: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK, chunks_a_file: int = CHUNKS_A_FILE, part: int = PART) -> None:
-    """Write (id, ids) as Huffman-coded files, in ascending order of id.
+def write(tokens: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK, chunks_a_file: int = CHUNKS_A_FILE, part: int = PART, bits: int = 32) -> None:
+    """Write (id, ids), ids packed with so many bits, as Huffman-coded files, in ascending order of id.
 
     tokens is read twice (for counts, then for ids), so it should be a table.
     Null ids are a document without ids; null document ids come first; documents
@@ -245,7 +287,7 @@ def write(tokens: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK,
     that occurs.
     """
     spark: SparkSession = tokens.sparkSession
-    found = sorted(tuple(r) for r in counts(tokens).collect())
+    found = sorted(tuple(r) for r in counts(tokens, bits=bits).collect())
     n = np.array([r[1] for r in found], np.int64)
     symbols, lengths = np.array([r[0] for r in found], np.int64), code_lengths(n, limit)
     rows = [(int(s), int(b)) for s, b in zip(symbols, lengths)]
@@ -253,7 +295,7 @@ def write(tokens: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK,
     shared = spark.sparkContext.broadcast((symbols, lengths))  # at most SYMBOLS numbers each
     tie = F.xxhash64("ids")
     dealt = tokens.select("id", "ids").repartitionByRange(max(1, -(-int(n.sum()) // part)), F.col("id").asc_nulls_first(), tie.asc())
-    chunks = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "ids").mapInArrow(_write_chunks(shared, chunk), "value binary")
+    chunks = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "ids").mapInArrow(_write_chunks(shared, chunk, bits), "value binary")
     raw = chunks.select(F.col("value").cast("string").alias("value"))  # the same bytes; the text writer doesn't look at them
     raw.write.option("encoding", "ISO-8859-1").option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", chunks_a_file).text(f"{path}/data")
 

@@ -4,13 +4,14 @@ import heapq
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from eventlake.llm import token_output as to
 from eventlake.llm.queries import END, TOKENIZER, op13_huffman_token_files
 
-TEXTS = ["", None, "Hello world's  \n\n  end ", "déjà vu — ñandú 漢字 🙂🙂", "x" * 3000, " \t\n" * 50, "a b\x1c c\x85 d  e", "<|endoftext|> 's # 12345 ...", "long words here \n" * 9000, "a\t b  c\n\n d"]
+TEXTS = ["", None, "Hello world's  \n\n  end ", "déjà vu — ñandú 漢字 🙂🙂", "x" * 3000, " \t\n" * 50, "a b\x1c c\x85 d  e", "<|endoftext|> 's # 12345 ...", "long words here \n" * 9000, "a\t b  c\n\n d", "\n\n\n x \n \n y  ", "Hello\n\nworld\n!?\n", " I'll 's \nnot", "a\0b c", "\x00", "nb\xa0 sp \u3000 x"]
 
 
 def plain():
@@ -77,7 +78,8 @@ def test_canonical_codes():
 def test_words_are_the_library():
     words, one = to.Words(TOKENIZER), plain()
     for _ in range(2):
-        assert [w.tolist() for w in words.encode([t or "" for t in TEXTS])] == [one(t)[:-1] for t in TEXTS]
+        assert [w.tolist() for w in words.encode(pa.array(TEXTS))] == [one(t)[:-1] for t in TEXTS]
+
 
 
 def folder(spark, tmp_path, rows, **sizes):
@@ -141,6 +143,25 @@ def test_query(spark, data):
     assert len(got) == len(docs)
 
 
+def test_any_texts():
+    """Texts of a small alphabet that holds all that cuts depend on."""
+    words, one, rng = to.Words(TOKENIZER), plain(), np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab  \n'sé1.,\t\xa0\0漢"), int(rng.integers(0, 30)))) for _ in range(4000)]
+    got = [w.tolist() for i in range(0, 4000, 500) for w in words.encode(pa.array(texts[i : i + 500]))]
+    assert got == [one(t)[:-1] for t in texts]
+
+
+@pytest.mark.parametrize("bits", [16, 32])
+def test_widths(spark, tmp_path, bits):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    to.write(to.encode(docs, TOKENIZER, END, bits=bits), f"{tmp_path}/t", bits=bits)
+    one = plain()
+    assert {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in to.read(spark, f"{tmp_path}/t").collect()} == {1: one("one two"), 2: [END]}
+    if bits == 16:
+        with pytest.raises(Exception, match="more than 16 bits"):
+            to.encode(docs, TOKENIZER, 1 << 16, bits=16).collect()
+
+
 def test_texts(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").selectExpr("*", "'x' as ids", "1 as id")
     one = plain()
