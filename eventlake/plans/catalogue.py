@@ -552,3 +552,52 @@ def xml_roundtrip(spark, sf_dir):
     )
     docs = read_table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("doc"))
     return xml_events.documents(xml_events.events(docs, "doc"), ["s_suppkey"])
+
+
+# JSON by kind, and both ways
+
+
+@query("""WITH d AS (SELECT event_id, event_type, CAST(event_id AS BIGINT) % 8 AS n FROM events)
+SELECT event_id, CASE n WHEN 0 THEN CAST(event_id AS BIGINT) WHEN 3 THEN CAST(event_id AS BIGINT) WHEN 6 THEN CAST(event_id AS BIGINT) END AS id,
+CASE n WHEN 0 THEN event_type WHEN 6 THEN '{' || event_type || '"[' END AS name, CASE WHEN n IN (4, 5, 7) THEN 'not JSON' WHEN n = 2 THEN 'Expecting bigint but was x at $.id' END AS error
+FROM d WHERE n <> 1""")
+def json_strict(spark, sf_dir):
+    """Objects and arrays under scalars are nothing, strings that look like them are strings; text behind a document is an error."""
+    key, n = F.col("event_id"), F.col("event_id") % 8
+    doc = F.when(n == 0, F.concat(F.lit('{"id":'), key, F.lit(',"name":"'), "event_type", F.lit('"}'))).when(n == 1, F.concat(F.lit('{"id":{"id":'), key, F.lit("}}")))
+    doc = doc.when(n == 2, F.lit('{"id":"x"}')).when(n == 3, F.concat(F.lit('{"id":'), key, F.lit(',"name":["a"]}'))).when(n == 4, F.concat(F.lit('{"id":'), key, F.lit("} trailing")))
+    doc = doc.when(n == 5, F.concat(F.lit('{"id":'), key, F.lit("}]"))).when(n == 6, F.concat(F.lit('{"id":"'), key, F.lit('","name":"{'), "event_type", F.lit('\\"["}'))).otherwise(F.lit("{'id':1}"))
+    docs = read_table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    proto = json_codec.Object({"id": json_codec.Scalar("bigint"), "name": json_codec.Scalar("string")}, optional=("name",))
+    return json_codec.read(docs, "doc", proto).select("event_id", "value.id", "value.name", "error")
+
+
+@query("""SELECT event_id, CAST(event_id AS BIGINT) AS id, event_type AS tag FROM events WHERE event_id % 3 <> 2
+UNION ALL SELECT event_id, CAST(-event_id AS BIGINT), 'second' FROM events WHERE event_id % 3 = 0""")
+def json_streamed_fields(spark, sf_dir):
+    """Objects out of every field of an object in each document, one row each; what is nothing gives no row."""
+    key, n = F.col("event_id"), F.col("event_id") % 3
+    first = F.concat(F.lit('{"id":'), key, F.lit(',"tag":"'), "event_type", F.lit('"}'))
+    doc = F.when(n == 0, F.concat(F.lit('{"all":{"a":'), first, F.lit(',"b":5,"c":{"id":-'), key, F.lit(',"tag":"second"}}}'))).when(n == 1, F.concat(F.lit('{"all":{"z":'), first, F.lit("}}"))).otherwise(F.lit('{"all":[]}'))
+    docs = read_table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    item = json_codec.Object({"id": json_codec.Scalar("bigint"), "tag": json_codec.Scalar("string")})
+    return json_codec.elements(docs, "doc", ["all", json_codec.ANY], item).select("event_id", "element.id", "element.tag")
+
+
+@query("""SELECT o_orderkey, '{"kind":"order","version":2,"id":' || o_orderkey || ',"customer":{"key":"' || o_custkey || '"}' || CASE WHEN o_orderkey % 2 = 0 THEN ',"marks":[' || o_orderkey % 10 || ',7]' ELSE '' END
+|| ',"more":{"a":1,"b":[' || o_custkey || ']}}' AS doc FROM orders""")
+def json_two_way(spark, sf_dir):
+    """Documents read and written again by one tree: constants, a mapped field, an optional array, a part of a type of its own."""
+    c = json_codec
+    tree = c.Object(
+        {
+            "id": c.Scalar("bigint").map(lambda v: v * 2, back=lambda v: (v / 2).cast("bigint")), "customer": c.Object({"key": c.Scalar("string")}),
+            "marks": c.Each(c.Many(c.Scalar("int"))), "more": c.Typed("struct<a:int,b:array<bigint>>"),
+        },
+        optional=("marks",), having={"kind": "order", "version": 2},
+    )
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    marks = F.when(key % 2 == 0, F.concat(F.lit(' "marks" : ["'), key % 10, F.lit('",null,{}, 7],'))).otherwise(F.when(key % 3 == 0, F.lit('"marks":[],')).otherwise(""))
+    doc = F.concat(F.lit('{"version":"2", "id":"'), key, F.lit('",'), marks, F.lit('"unknown":[{}],"customer":{"key":'), customer, F.lit('},"kind":"order","more":{"b":['), customer, F.lit('],"a":1,"x":0}}'))
+    docs = read_table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc"))
+    return c.read(docs, "doc", tree).select("o_orderkey", c.encoded(F.col("value"), tree).alias("doc"))

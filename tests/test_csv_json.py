@@ -1,6 +1,10 @@
 """Edge cases of CSV records and JSON documents, with values of our own."""
 
+import json
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventlake.operators.fold import Fold
@@ -85,3 +89,62 @@ def test_json_streams_of_elements(spark):
     assert first('[{"m":0},{"n":7},{"n":8}]').n == 7 and first('{"n":9}').n == 9
     with pytest.raises(Exception, match="no element"):
         first("[]")
+
+
+def test_json_by_kind(spark):
+    one = j.Object({"a": j.Scalar("string"), "n": j.Scalar("int"), "[k": j.Scalar("int")}, optional=("n", "[k"))
+    got = values(
+        spark, one, '{"a":{"b":1}}', '{"a":[1]}', '{"a":"{b"}', '{"a":"[","n":{}}', '{"a":1} x', '{"a":1}]', '{"a":1},{"a":2}', "{'a':1}", '{"a":"x\\"{y"}', '{"a":"1","n":[2]}', '{"a":"","[k":4}', '{"a":1,"n":"[3"}', "", " "
+    )
+    assert [v.a if v else None for v, _ in got] == [None, None, "{b", "[", None, None, None, None, 'x"{y', "1", "", None, None, None]
+    assert [e for _, e in got] == [None] * 4 + ["not JSON"] * 4 + [None] * 3 + ["Expecting int but was [3 at $.n"] + ["not JSON"] * 2
+    assert got[10][0]["[k"] == 4
+    assert values(spark, j.AnyField(j.Scalar("string")), '{"[x":"{y","o":{},"z":"1"}')[0][0] == {"[x": "{y", "z": "1"}
+    assert values(spark, j.Object({"v": j.Scalar("int")}, having={"n": 1}), '{"n":{},"v":3}', '{"n":1,"v":3}')[0] == (None, "must have n = 1 but was absent at $")
+    assert values(spark, j.Scalar("decimal(38,0)"), "12345678901234567890123456789012345678")[0][0] == 12345678901234567890123456789012345678
+    assert values(spark, j.Typed("struct<a:string>"), '{"a":"[b"}')[0][0].a == "[b"
+
+
+def test_json_paths_and_effects(spark, tmp_path):
+    df = spark.createDataFrame([(1, '{"x":{"p":[{"n":1},{"n":2}],"q":[{"n":3},5]}}'), (2, '{"x":[]}'), (3, None)], "_part int, t string")
+    found = j.elements(df, "t", ["x", j.ANY, j.EACH, "n"], j.Scalar("int"), "n")
+    assert [tuple(r) for r in found.select("_part", "n").collect()] == [(1, 1), (1, 2), (1, 3)]
+    path = str(tmp_path)
+
+    def note(row):
+        with open(f"{path}/{row.n}", "w") as f:
+            f.write(str(row._part))
+
+    j.for_each(found, note)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"1": "1", "2": "1", "3": "1"}
+    with pytest.raises(Exception, match="not JSON"):
+        j.elements(df.withColumn("t", F.lit("{")), "t", "x", j.Scalar("int")).collect()
+
+
+def test_json_trees_are_checked():
+    many = j.Many(j.Scalar("int"))
+    for wrong in (lambda: j.Object({"a": many}), lambda: j.AnyField(many), lambda: j.Each(j.Each(many).inner) and j.Object({"b": many}), lambda: j.decoded(F.lit(""), many)):
+        with pytest.raises(TypeError, match="Each"):
+            wrong()
+    with pytest.raises(TypeError, match="constants"):
+        j.Object({"a": j.Scalar("int")}, having={"a": "1"})
+    assert j.Object({"a": j.Each(many)}).schema() == "struct<`a`:array<string>>"
+
+
+TEXT = st.text(alphabet='ab{}[]",:\\ é\n1', max_size=6)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(TEXT, st.none() | st.integers(-9, 1 << 62), st.lists(TEXT, max_size=3), st.dictionaries(TEXT, st.integers(0, 9), max_size=3), st.booleans()), min_size=1, max_size=20))
+def test_writing_what_was_read(spark, rows):
+    tree = j.Object(
+        {"s": j.Scalar("string"), "n": j.Scalar("bigint"), "xs": j.Each(j.Scalar("string").map(F.reverse, back=F.reverse)), "m": j.AnyField(j.Scalar("int")), "b": j.Scalar("boolean")},
+        optional=("n", "xs", "m"), having={"k": 'c"{'},
+    )
+    df = spark.createDataFrame([((s, n, xs, m, b),) for s, n, xs, m, b in rows], "v struct<s:string,n:bigint,xs:array<string>,m:map<string,int>,b:boolean>")
+    text = df.select("v", j.encoded(F.col("v"), tree).alias("t"))
+    back, error = j.decoded(F.col("t"), tree)
+    for r in text.select("v", back.alias("back"), error.alias("e"), j.encoded(back, tree).alias("again"), "t").collect():
+        want = r.v.asDict()
+        assert r.e is None and r.back.asDict() | {"m": r.back.m or {}} == want | {"m": want["m"] or {}}
+        assert json.loads(r.t) == json.loads(r.again)
