@@ -11,7 +11,6 @@ without what stands before it. Files are numbered in ascending order of document
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +30,9 @@ BLOCK, CHUNK, CHUNKS_A_FILE, PART = 512, 1 << 18, 32, 1 << 22
 #: Longest code (more where there are too many ids for it), and how many different ids there may be.
 LIMIT, SYMBOLS = 18, 1 << 22
 #: Distinct words whose ids a worker remembers, and new ones that are encoded together.
-WORDS, LINES = 3 << 18, 4096
-#: White space besides space and line feed, and the mark that words are cut by; a word that may stand in a line.
+WORDS, LINES = 3 << 19, 4096
+#: White space besides space and line feed, and the mark that words are cut by.
 _ODD = r"[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_PLAIN = re.compile(r" ?[^ \n]+")
 HEAD, MAGIC = struct.Struct("<4sqqIIIQ"), b"HUF1"
 
 
@@ -69,11 +67,11 @@ class Words:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _lines(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each) of words without white space but one leading space."""
-        (ids,) = self._encoded(["\n".join(words)])
+        (ids,) = self._encoded(["\n".join(words.to_pylist())])
         ends = np.cumsum(self.bytes[ids])
-        stops = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
+        stops = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
         last = np.searchsorted(ends, stops)
         if (ends[last] != stops).any():
             raise ValueError("a token reaches over the end of a line")
@@ -82,12 +80,13 @@ class Words:
         return ids[keep], np.diff(last, prepend=-2) - 1
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        odd = [w for w in words if not _PLAIN.fullmatch(w)]
-        found = [self._lines(plain[i : i + LINES]) for i in range(0, len(plain), LINES)]
+        all_ = pa.array(words, pa.string())
+        fits = pc.match_substring_regex(all_, r"^ ?[^ \n]+\z")
+        plain, odd = all_.filter(fits), all_.filter(pc.invert(fits)).to_pylist()
+        found = [self._lines(plain.slice(i, LINES)) for i in range(0, len(plain), LINES)]
         found += [(ids, np.array([len(ids)])) for ids in self._encoded(odd)]
         size = np.concatenate([n for _, n in found])
-        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(words))))
+        self.known.update(zip([*plain.to_pylist(), *odd], range(len(self.known), len(self.known) + len(words))))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
@@ -135,7 +134,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
-        for part in _slices(rows, "text", 4 * ROWS, 2 * BYTES):
+        for part in _slices(rows, "text", 4 * ROWS, 4 * BYTES):
             coded = [np.append(c, np.uint32(end)) for c in words.encode(part.column("text"))]
             if bits == 16 and any(c.max() >= 1 << 16 for c in coded):
                 raise ValueError("an id needs more than 16 bits")
