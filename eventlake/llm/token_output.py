@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,8 +92,8 @@ class Words:
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; null has none."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and each one's bounds in them (one more than texts); null has none."""
         if len(self.known) > WORDS:
             self._forget()
         texts = pc.fill_null(texts, "")
@@ -103,15 +104,21 @@ class Words:
         words = coded.dictionary.to_pylist()
         if new := [w for w in words if w not in self.known]:
             self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        size = self.size[which]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[which] - ends[:-1], size)]
-        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
-        out = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = np.concatenate(self._encoded(list(pieces(texts[i].as_py()))))
-        return out
+        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        which = coded.indices.to_numpy()
+        size, first = self.size[known][which], self.first[known][which]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        place = np.arange(ends[-1], dtype=np.int32)  # a batch is bounded
+        place += np.repeat((first - ends[:-1]).astype(np.int32), size)
+        ids = self.ids[place]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)])]
+        strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(strange):
+            parts = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+            for i in strange.tolist():
+                parts[i] = np.concatenate(self._encoded(list(pieces(texts[i].as_py()))))
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
 
 
 @lru_cache(maxsize=2)
@@ -135,10 +142,14 @@ def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
         for part in _slices(rows, "text", 4 * ROWS, 4 * BYTES):
-            coded = [np.append(c, np.uint32(end)) for c in words.encode(part.column("text"))]
-            if bits == 16 and any(c.max() >= 1 << 16 for c in coded):
+            ids, bounds = words.encode(part.column("text"))
+            ids = np.insert(ids, bounds[1:], np.uint32(end))
+            if bits == 16 and ids.max() >= 1 << 16:
                 raise ValueError("an id needs more than 16 bits")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([c.astype(_type(bits)).tobytes() for c in coded], pa.binary())], ["id", "ids"])
+            # each text's end id moves all that follow it
+            places = pa.py_buffer(((bounds + np.arange(len(bounds))) * (bits // 8)).astype(np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, places, pa.py_buffer(ids.astype(_type(bits)).tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("id"), packed], ["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
 
@@ -339,7 +350,9 @@ def documents_of(chunk: tuple, table: tuple[np.ndarray, np.ndarray], first: int
         yield names[i], before + int(starts[i]), ids[at : at + int(sizes[i])]
 
 
-def _read(shared):
+def _read(shared, digest: bool):
+    """Documents of files: their ids, or in place of them their number and checksum."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*shared.value)
         table = codes.table()
@@ -347,21 +360,29 @@ def _read(shared):
             for value in batch.column(0):
                 for chunk in read_chunks(value.as_py()):
                     names, at, ids = zip(*((n, a, i.astype("<u4").tobytes()) for n, a, i in documents_of(chunk, table)))
-                    columns = [pa.array([chunk[0]] * len(names), pa.int64()), pa.array(at, pa.int64()), pa.array(names, pa.int64()), pa.array(ids, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["part", "at", "id", "ids"])
+                    columns = [pa.array([chunk[0]] * len(names), pa.int64()), pa.array(at, pa.int64()), pa.array(names, pa.int64())]
+                    if digest:
+                        columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, ["part", "at", "id", "n_tokens", "ids_crc32"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], ["part", "at", "id", "ids"])
 
     return run
 
 
+def _documents(spark: SparkSession, path: str, digest: bool) -> DataFrame:
+    codes = spark.read.schema("symbol long, bits int").parquet(f"{path}/codes").collect()  # at most SYMBOLS rows
+    shared = spark.sparkContext.broadcast((np.array([r.symbol for r in codes], np.int64), np.array([r.bits for r in codes], np.int64)))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").where("length > 0").select("content")
+    return files.mapInArrow(_read(shared, digest), "part long, at long, id long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(part, at, id, ids) of each document in a folder: the partition that wrote it, its first id's place there, packed 32-bit ids.
 
     A file is read by one task; write bounds its size. A folder without data gives no rows.
     """
-    codes = spark.read.schema("symbol long, bits int").parquet(f"{path}/codes").collect()  # at most SYMBOLS rows
-    shared = spark.sparkContext.broadcast((np.array([r.symbol for r in codes], np.int64), np.array([r.bits for r in codes], np.int64)))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
-    return files.where("length > 0").select("content").mapInArrow(_read(shared), "part long, at long, id long, ids binary")
+    return _documents(spark, path, False)
 
 
 def with_starts(documents: DataFrame) -> DataFrame:
@@ -377,5 +398,5 @@ def with_starts(documents: DataFrame) -> DataFrame:
 
 def digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of each document of a folder, read back from its files."""
-    each = read(spark, path).select("part", "at", F.col("id").alias(id_col), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    each = _documents(spark, path, True).withColumnRenamed("id", id_col)
     return with_starts(written(each, "digests")).select(id_col, "start", "n_tokens", "ids_crc32")
