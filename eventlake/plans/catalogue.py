@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import chunk_key, chunk_start, java_shard, uuid_start_of, uuid_timestamp, uuid_v5
 from ..functions.text import base64_bytes, base64_line, decode_strict, encode_strict, full_match
 from ..operators import fold, log, runs, visibility
-from ..sources import chunks, csv_codec, framing, json_codec, xml_events, xsd
+from ..sources import chunks, control, csv_codec, framing, json_codec, xml_events, xsd
+from ..streaming import roles
 from ..tables import new_path, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -601,3 +602,71 @@ def json_two_way(spark, sf_dir):
     doc = F.concat(F.lit('{"version":"2", "id":"'), key, F.lit('",'), marks, F.lit('"unknown":[{}],"customer":{"key":'), customer, F.lit('},"kind":"order","more":{"b":['), customer, F.lit('],"a":1,"x":0}}'))
     docs = read_table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc"))
     return c.read(docs, "doc", tree).select("o_orderkey", c.encoded(F.col("value"), tree).alias("doc"))
+
+
+# Roles and control tables
+
+NAMED_SQL = """named AS (SELECT *, CASE WHEN tag = 'signup' THEN ['eu', '*'] WHEN tag = 'purchase' THEN ['eu'] WHEN tag = 'error' THEN ['us'] END AS sites FROM log)"""
+
+
+def _named(spark, sf_dir):
+    sites = F.when(F.col("tag") == "signup", F.array(F.lit("eu"), F.lit("*"))).when(F.col("tag") == "purchase", F.array(F.lit("eu"))).when(F.col("tag") == "error", F.array(F.lit("us")))
+    return _log(spark, sf_dir).withColumn("sites", sites)
+
+
+@query("WITH {LOG}, " + NAMED_SQL + """, past AS (SELECT persistence_id, COALESCE(CASE WHEN arg_min(sites[1], sequence_nr) FILTER (WHERE sites IS NOT NULL) = 'eu' THEN 'master' WHEN count(sites) > 0 THEN 'slave' END, 'master') AS known
+  FROM named WHERE CAST(persistence_id AS BIGINT) % 4 <> 0 AND sequence_nr <= 3 GROUP BY 1),
+m AS (SELECT n.*, known, CASE event_id % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'event' END AS kind FROM named n LEFT JOIN past USING (persistence_id) WHERE CAST(persistence_id AS BIGINT) % 4 = 0 OR sequence_nr > 3),
+r AS (SELECT *, COALESCE(known, first_value(CASE WHEN kind = 'event' THEN 'slave' WHEN kind = 'write' AND sites[1] = 'eu' THEN 'master' END IGNORE NULLS) OVER (PARTITION BY persistence_id ORDER BY sequence_nr ROWS UNBOUNDED PRECEDING)) AS role FROM m)
+SELECT persistence_id, sequence_nr AS message_nr, role, CASE WHEN role IS NULL THEN CASE kind WHEN 'read' THEN 'not found' ELSE 'invalid first event' END WHEN kind = 'event' AND role = 'master' OR kind = 'write' AND role = 'slave' THEN 'wrong side' ELSE 'ok' END AS outcome FROM r""")
+def replica_roles(spark, sf_dir):
+    """What becomes of reads, writes and events from elsewhere at a site, for entities with a history there and new ones."""
+    named = _named(spark, sf_dir)
+    old = (F.col("persistence_id").cast("bigint") % 4 != 0) & (F.col("sequence_nr") <= 3)
+    n = F.col("event_id") % 3
+    kind = F.when(n == 0, roles.READ).when(n == 1, roles.WRITE).otherwise(roles.EVENT)
+    messages = named.where(~old).select("persistence_id", F.col("sequence_nr").alias("message_nr"), kind.alias("kind"), "sites")
+    return roles.outcomes(named.where(old), messages, "eu").select("persistence_id", "message_nr", "role", "outcome")
+
+
+@query("WITH {LOG}, " + NAMED_SQL + """ SELECT persistence_id, CAST(max(sequence_nr) + 1 AS BIGINT) AS sequence_nr, 'eu' AS site FROM named WHERE sequence_nr <= 3 GROUP BY 1 HAVING count(sites) = 0""")
+def role_migrations(spark, sf_dir):
+    """The event that pins each entity from before replication to this site."""
+    found = roles.migrations(_named(spark, sf_dir).where("sequence_nr <= 3"), "eu")
+    return found.select("persistence_id", "sequence_nr", F.explode("sites").alias("site"))
+
+
+@query("WITH {LOG}, " + NAMED_SQL + """ SELECT persistence_id, arg_max(tag = 'purchase', sequence_nr) AS master, array_to_string(list_sort(list_distinct(flatten(list(sites)))), ',') AS sites FROM named WHERE sites IS NOT NULL GROUP BY 1""")
+def visibility_upsert(spark, sf_dir):
+    """A stored visibility table after five batches, one of which comes twice: sites add up, the master is the last one set."""
+    table = control.visibility(spark, new_path(spark, "visibility"), 16)
+    named = _named(spark, sf_dir).where("sites is not null").withColumn("master", F.col("tag") == "purchase")
+    for number in (0, 1, 1, 2, 3, 4):
+        part = named.where((F.col("sequence_nr") > 20 * number) & ((F.col("sequence_nr") <= 20 * (number + 1)) | F.lit(number == 4)))
+        table.upsert(part, number, F.col("sequence_nr"))
+    return table.read().select("persistence_id", "master", F.array_join("sites", ",").alias("sites"))
+
+
+@query("""WITH {LOG}, o AS (SELECT 'eu' AS site, tag, max(timestamp_ms) AS "offset" FROM log GROUP BY 2), k AS (SELECT site, tag FROM (VALUES ('eu'), ('us')) s(site), (SELECT DISTINCT tag FROM log))
+SELECT site, tag, COALESCE("offset", 0) AS "offset" FROM k LEFT JOIN o USING (site, tag)""")
+def control_offsets(spark, sf_dir):
+    """Offsets by site and tag, written twice; those never written are 0."""
+    table = control.offsets(spark, new_path(spark, "offsets"))
+    last = _log(spark, sf_dir).groupBy(F.lit("eu").alias("site"), "tag").agg(F.max("timestamp_ms").alias("offset"))
+    table.upsert(last.withColumn("offset", F.lit(5)))
+    table.upsert(last)
+    wanted = last.select(F.explode(F.array(F.lit("eu"), F.lit("us"))).alias("site"), "tag")
+    return table.lookup(wanted, offset=0)
+
+
+# Byte streams
+
+
+@query("WITH {LOG} SELECT persistence_id AS stream, sequence_nr - 1 AS place, sequence_nr, timestamp_ms - 1704800000000 AS timestamp_ms, event FROM log")
+def framing_chunks(spark, sf_dir):
+    """Each entity's messages as one byte stream, cut every 61 bytes whatever is there, and read again; some times are before 1970."""
+    early = _log(spark, sf_dir).withColumn("timestamp_ms", F.col("timestamp_ms") - 1_704_800_000_000)
+    frames = early.select("persistence_id", "sequence_nr", framing.envelope_frame("persistence_id", "sequence_nr", "timestamp_ms", "event").alias("content"))
+    streams = framing.concatenated(frames, ["persistence_id"], "sequence_nr").withColumnRenamed("persistence_id", "stream")
+    back = framing.decode_chunks(framing.cut(streams, "content", 61), "stream", "nr")
+    return back.select("stream", "place", "sequence_nr", "timestamp_ms", F.col("event").cast("string").alias("event"))

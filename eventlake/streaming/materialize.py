@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.log import events_of_keys
+from ..tables import unused
+from . import progress
 
 Apply = Callable[[DataFrame, int], None]
 
@@ -21,7 +23,7 @@ def ordered(batch: DataFrame, key: str = "persistence_id") -> DataFrame:
     return batch.repartition(F.col(key)).sortWithinPartitions("timestamp_ms", key, "sequence_nr")
 
 
-def materialize(log: DataFrame, apply: Apply, checkpoint: str, late: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+def materialize(log: DataFrame, apply: Apply, checkpoint: str, late: str | None = None, trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
     """Apply a streaming log batch by batch, at least once, no event dropped however late.
 
     A batch's repeated events are applied once. Events that come again in later
@@ -30,14 +32,26 @@ def materialize(log: DataFrame, apply: Apply, checkpoint: str, late: str | None
     sequence_nr) is exact (see upsert_parquet). ``late`` is a memory of repeated
     events over batches: with it, those within that time are left out before
     they reach apply, but so are events that come later than it; the view of
-    such a stream needs a replay of their slice.
+    such a stream needs a replay of their slice. A ``name`` makes the stream tell
+    its progress (see progress.record).
     """
     once = log
+    if name is not None:
+        once = progress.observed(once)
     if late is not None:
-        timed = log.withColumn("_time", F.timestamp_millis("timestamp_ms")).withWatermark("_time", late)
-        once = timed.dropDuplicatesWithinWatermark(["persistence_id", "sequence_nr"]).drop("_time")
-    step = lambda batch, number: apply(ordered(batch.dropDuplicates(["persistence_id", "sequence_nr"])), number)
-    return once.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        (time,) = unused(log, "_time")
+        timed = once.withColumn(time, F.timestamp_millis("timestamp_ms")).withWatermark(time, late)
+        once = timed.dropDuplicatesWithinWatermark(["persistence_id", "sequence_nr"]).drop(time)
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = ordered(batch.dropDuplicates(["persistence_id", "sequence_nr"])).persist()  # apply may read it several times
+        try:
+            apply(held, number)
+        finally:
+            held.unpersist()
+
+    writer = once.writeStream if name is None else once.writeStream.queryName(name)
+    return writer.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def replay(log: DataFrame, apply: Apply, start_ms: int = 0, end_ms: int | None = None) -> None:
@@ -60,23 +74,30 @@ def _number(*what: object) -> int:
     return -1 - int.from_bytes(hashlib.sha256(repr(what).encode()).digest()[:7], "big")
 
 
+#: Folders that a batch's rows are dealt to by their keys.
+BUCKETS = 64
+
+
 def upsert_parquet(spark: SparkSession, path: str, keys: list[str]) -> Apply:
     """An apply function that appends each batch under its number: a repeated batch replaces itself, no other one.
 
     Rows whose keys another batch has written (a replay, an event that came
-    again) are left out; only the key columns of the others are read for that.
-    Batches that run at the same time may both write a row: ``merged`` reads it once.
+    again) are left out; only the key columns of the buckets that the batch's own
+    keys are in are read for that. Batches that run at the same time may both
+    write a row: ``merged`` reads it once. For a view with one row a key, updated
+    in place, see sources.control.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(keys)
+        rows = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
         try:
-            known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != number).select(*keys)
-            rows = rows.join(known, keys, "left_anti")
+            own = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            known = spark.read.option("basePath", path).parquet(path).where((F.col("batch") != number) & F.col("bucket").isin(own)).select("bucket", *keys)
+            rows = rows.join(known, ["bucket", *keys], "left_anti").select(*rows.columns)
         except AnalysisException as missing:  # the first batch
             if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return apply
 
@@ -84,5 +105,5 @@ def upsert_parquet(spark: SparkSession, path: str, keys: list[str]) -> Apply:
 def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The rows of a folder of batches, one for each key: that of the highest batch number, replays before all stream batches."""
     rows = spark.read.option("basePath", path).parquet(path)
-    columns = [c for c in rows.columns if c != "batch"]
+    columns = [c for c in rows.columns if c not in ("batch", "bucket")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*").select(*columns)

@@ -41,3 +41,21 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's own writers reach them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    where, fs = _place(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Remove a folder and all in it; False if it wasn't there."""
+    where, fs = _place(spark, path)
+    return fs.delete(where, True)

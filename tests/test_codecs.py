@@ -67,6 +67,37 @@ def test_framing():
     for n in (0, 1, 127, 128, 300, 1 << 40):
         assert framing.read_varint(framing.varint(n), 0) == (n, len(framing.varint(n)))
     assert framing.decode_envelope(framing.encode_envelope("é", 3, 1 << 41, b"\0x")) == ("é", 3, 1 << 41, b"\0x")
+    for n in (-1, -(1 << 63), (1 << 63) - 1):
+        assert framing.decode_envelope(framing.encode_envelope("k", n, -n - 1, b""))[1:3] == (n, -n - 1)
+
+
+def test_streams_cut_at_every_byte(spark):
+    """The same messages come out wherever a stream is cut: in a length, in a message, between two."""
+    sent = [(f"k{i}", i, -i, b"x" * n) for i, n in enumerate((0, 1, 3, 130, 0, 127, 20_000))]
+    whole = b"".join(framing.varint(len(m)) + m for m in (framing.encode_envelope(*e) for e in sent))
+    for at in [*range(420), *range(len(whole) - 5, len(whole))]:
+        d = framing.Deframer()
+        assert [framing.decode_envelope(m) for part in (whole[:at], whole[at:]) for m in d.feed(part)] == sent
+        d.end()
+    one = framing.Deframer()
+    assert [framing.decode_envelope(m) for i in range(600) for m in one.feed(whole[i : i + 1])] == sent[:6]
+    with pytest.raises(ValueError, match="within a message"):
+        one.end()
+    with pytest.raises(ValueError, match="malformed"):
+        list(framing.Deframer().feed(b"\xff" * 10))
+    rows = [(s, n, whole[i : i + size]) for s, size in (("a", 100), ("b", 7001)) for n, i in enumerate(range(0, len(whole), size))] + [("a", 10**6, None), ("c", 0, b""), (None, 0, whole)]
+    df = spark.createDataFrame(rows, "name string, n int, content binary").orderBy(F.rand(3))
+    got = framing.decode_chunks(df, "name", "n", rows=2).orderBy("name", "place").collect()
+    assert [(r.name, r.place, r.persistence_id, r.sequence_nr, r.timestamp_ms, bytes(r.event)) for r in got] == [(s, i, *e) for s in "ab" for i, e in enumerate(sent)]
+    assert {r.name: r.content and bytes(r.content) for r in framing.concatenated(df, ["name"], "n").collect()} == {"a": whole, "b": whole, "c": b"", None: whole}
+    with pytest.raises(Exception, match="within a message"):
+        framing.decode_chunks(df.where("n < 1 and name is not null"), "name", "n").collect()
+
+
+def test_null_parts_of_envelopes(spark):
+    df = spark.createDataFrame([(None, None, -5, None), ("k", (1 << 53) + 1, None, b"e")], "p string, n long, t long, e binary")
+    back = framing.decode_frames(df.select(framing.envelope_frame("p", "n", "t", "e").alias("content"))).collect()
+    assert sorted((r.persistence_id, r.sequence_nr, r.timestamp_ms, bytes(r.event)) for r in back) == [("", 0, -5, b""), ("k", (1 << 53) + 1, 0, b"e")]
 
 
 def test_backup_and_restore(spark, tmp_path):
