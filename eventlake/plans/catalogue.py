@@ -670,3 +670,67 @@ def framing_chunks(spark, sf_dir):
     streams = framing.concatenated(frames, ["persistence_id"], "sequence_nr").withColumnRenamed("persistence_id", "stream")
     back = framing.decode_chunks(framing.cut(streams, "content", 61), "stream", "nr")
     return back.select("stream", "place", "sequence_nr", "timestamp_ms", F.col("event").cast("string").alias("event"))
+
+
+# Schemas: repeats, recursion, simple types
+
+REPEATS_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="rec"><xs:complexType mixed="true"><xs:sequence>
+<xs:element name="key" type="xs:string"/><xs:element name="value" type="xs:int" minOccurs="0"/><xs:element name="key" type="xs:string" minOccurs="0"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@query("""SELECT p_partkey, '{"key":["' || p_size || '"' || CASE WHEN p_partkey % 2 = 0 THEN ',"second"' ELSE '' END || '],"value":"7","_value":"a b' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' END || p_partkey || '"}' AS json FROM part""")
+def xml_repeats(spark, sf_dir):
+    """An element that a type names twice is an array; mixed text is whole but for blanks alone between tags, and has another name where a child is called value."""
+    schema, _ = xsd.parse(REPEATS_XSD)
+    key = F.col("p_partkey")
+    again = F.when(key % 2 == 0, F.lit("<key>second</key>")).otherwise("")
+    doc = F.concat(F.lit("<rec>a <key>"), "p_size", F.lit("</key>b<!-- x --><value>7</value> "), again, key, F.lit("</rec>"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", xsd.xml_to_json(doc, schema, "rec").alias("json"))
+
+
+TREE_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:t="urn:tree" targetNamespace="urn:tree"><xs:element name="node" type="t:Node"/>
+<xs:complexType name="Node"><xs:sequence><xs:element name="node" type="t:Node" minOccurs="0"/></xs:sequence><xs:attribute name="id"/></xs:complexType></xs:schema>"""
+
+
+@query("""SELECT p_partkey, repeat('{"node":', p_partkey % 8) || '{"id":"0"}' || array_to_string(list_transform(range(1, p_partkey % 8 + 1), lambda i: ',"id":"' || i || '"}'), '') AS json FROM part""")
+def xml_recursive(spark, sf_dir):
+    """Trees of up to eight levels by a recursive type."""
+    schema, _ = xsd.parse(TREE_XSD)
+    depth = (F.col("p_partkey") % 8).cast("int")
+    opens = F.array_join(F.transform(F.sequence(depth, F.lit(0), F.lit(-1)), lambda i: F.concat(F.lit('<node id="'), i, F.lit('">'))), "")
+    doc = F.concat(opens, F.repeat(F.lit("</node>"), depth + 1))
+    return read_table(spark, sf_dir, "part").select("p_partkey", xsd.xml_to_json(doc, schema, "node", "urn:tree", recursion=8).alias("json"))
+
+
+#: Built-in types of XML Schema with values that are of them, and behind the bar some that aren't.
+TYPE_CASES = {
+    "string": ["", " any "], "normalizedString": ["a b"], "token": ["a b"], "anyURI": ["http://a/b"], "boolean": ["true", "0", " 1 ", "|", "TRUE", "yes"], "decimal": ["-1.50", ".5", "7.", "|", "1e3", "."],
+    "integer": ["+7", "-0", "12345678901234567890123456789012345678901", "|", "1.0", "x"], "long": ["-9223372036854775808", "|", "9223372036854775808"], "int": ["2147483647", "|", "2147483648"],
+    "short": ["-32768", "|", "32768"], "byte": ["127", "|", "-129"], "nonNegativeInteger": ["0", "|", "-1"], "positiveInteger": ["1", "|", "0"], "nonPositiveInteger": ["0", "|", "1"], "negativeInteger": ["-1", "|", "0"],
+    "unsignedLong": ["18446744073709551615", "|", "18446744073709551616"], "unsignedInt": ["4294967295", "|", "-1"], "unsignedShort": ["65535", "|", "65536"], "unsignedByte": ["255", "|", "256"],
+    "float": ["1e-3", "-INF", "NaN", "|", "inf", "1e"], "double": ["12", "|", "1.2.3"], "date": ["2024-02-29", "2024-02-28+01:00", "|", "2023-02-29", "24-01-01"],
+    "time": ["23:59:59.5", "24:00:00", "08:00:00Z", "|", "25:00:00", "8:00:00"], "dateTime": ["2024-01-31T10:00:00Z", "2024-01-31T10:00:00.123", "|", "2024-01-32T10:00:00", "2024-01-31"],
+    "duration": ["P1Y2M", "PT0.5S", "-P3D", "|", "P", "P1YT", "1Y"], "gYear": ["2024", "|", "24"], "gYearMonth": ["2024-12", "|", "2024-13"], "gMonth": ["--07", "|", "07"], "gMonthDay": ["--02-29", "|", "--02-30"],
+    "gDay": ["---31", "|", "---32"], "base64Binary": ["YWJj", "YWI=", "|", "YWI", "Y=Wj"], "hexBinary": ["0aFF", "|", "0a1"], "language": ["de-CH", "|", "much-too-long-parts-here-000000000"],
+    "Name": ["a:b", "|", "1a"], "NCName": ["_a-1", "|", "a:b"], "ID": ["x.1", "|", "-x"], "IDREF": ["x", "|", "x y"], "QName": ["p:x", "|", "p:"], "NMTOKEN": ["-1a", "|", "a b"], "NMTOKENS": ["a -b", "|", "a,b"], "IDREFS": ["a b", "|", "a 1"],
+}
+
+
+def _type_cases() -> list[tuple[str, str, bool]]:
+    return [(kind, text, "|" not in values[: i + 1]) for kind, values in TYPE_CASES.items() for i, text in enumerate(values) if text != "|"]
+
+
+_CASES_SQL = ", ".join(f"({i}, '{kind}', {str(ok).lower()})" for i, (kind, _, ok) in enumerate(_type_cases()))
+
+
+@query(f"SELECT event_id, kind, valid FROM events JOIN (VALUES {_CASES_SQL}) c(i, kind, valid) ON event_id % {len(_type_cases())} = i")
+def xml_types(spark, sf_dir):
+    """Values of every built-in simple type in documents, some of which aren't of it."""
+    cases = _type_cases()
+    parts = "".join(f'<xs:element name="{kind}" type="xs:{kind}" minOccurs="0"/>' for kind in TYPE_CASES)
+    schema, _ = xsd.parse(f'<xs:schema xmlns:xs="{xsd.SPACE}"><xs:element name="t"><xs:complexType><xs:sequence>{parts}</xs:sequence></xs:complexType></xs:element></xs:schema>')
+    at = (F.col("event_id") % len(cases) + 1).cast("int")
+    docs = F.array(*(F.lit(f"<t><{kind}>{text}</{kind}></t>") for kind, text, _ in cases))
+    value = xsd.xml_value(F.element_at(docs, at), schema, "t")
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*(F.lit(kind) for kind, _, _ in cases)), at).alias("kind"), value.alias("value"))
+    return rows.select("event_id", "kind", (F.size(schema.simple_errors(F.col("value"), "t")) == 0).alias("valid"))
