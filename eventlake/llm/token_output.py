@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .bpe import BYTES, ROWS, _slices, pieces
 from .shared import need_columns, written
 
 #: Ids of a block and of a chunk (longer documents are a chunk of their own), chunks of a file, and ids of a partition when files are written.
-BLOCK, CHUNK, CHUNKS_A_FILE, PART = 512, 1 << 18, 32, 1 << 22
+BLOCK, CHUNK, CHUNKS_A_FILE, PART = 256, 1 << 18, 32, 1 << 22
 #: Longest code (more where there are too many ids for it), and how many different ids there may be.
 LIMIT, SYMBOLS = 18, 1 << 22
 #: Distinct words whose ids a worker remembers, and new ones that are encoded together.
@@ -40,6 +41,13 @@ HEAD, MAGIC = struct.Struct("<4sqqIIIQ"), b"HUF1"
 # Encoding
 
 
+def _marked(texts: pa.Array) -> pa.Array:
+    """Texts with a mark before each space or line feed that doesn't follow another one (or, where it does no harm, the start)."""
+    for mark, place in ((" ", "\0 "), ("\n", "\0\n"), (" \0", " "), ("\n\0", "\n")):
+        texts = pc.replace_substring(texts, mark, place)
+    return texts
+
+
 class Words:
     """A tokenizer of the tokenizers library that encodes each distinct word of many texts once.
 
@@ -98,13 +106,15 @@ class Words:
             self._forget()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD)
-        marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), "([^ \n])([ \n])", "\\1\0\\2")
-        split = pc.split_pattern(marked, "\0")
+        split = pc.split_pattern(_marked(pc.if_else(odd, "", texts) if pc.any(odd).as_py() else texts), "\0")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.known]:
+        known = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             self._learn(new)
-        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            known[missing] = [self.known[w] for w in new]
         which = coded.indices.to_numpy()
         size, first = self.size[known][which], self.first[known][which]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
