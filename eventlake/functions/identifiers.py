@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import base64_line
+
 #: 100 ns steps are counted from 1582-10-15; so many milliseconds lie before 1970.
 GREGORIAN_MS = 12_219_292_800_000
 
@@ -44,6 +46,33 @@ def uuid_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda u: u != "")))
 
 
+def uuid_longs(uuid: Column) -> tuple[Column, Column]:
+    """The two signed 64-bit numbers (most, least significant) of a UUID."""
+    flat = F.replace(uuid, F.lit("-"), F.lit(""))
+    half = lambda start: F.conv(F.substring(flat, start, 16), 16, -10).cast("bigint")
+    return half(1), half(17)
+
+
+def uuid_of_longs(most: Column, least: Column) -> Column:
+    """The UUID of two signed 64-bit numbers; null if either is."""
+    return F.when(most.isNotNull() & least.isNotNull(), dashed(F.concat(F.lpad(F.hex(most), 16, "0"), F.lpad(F.hex(least), 16, "0"))))
+
+
+def time_offset(ms: Column) -> Column:
+    """A position in a log by time: the smallest UUID of a millisecond; 0 and null are no position."""
+    return F.when(ms != 0, uuid_start_of(ms))
+
+
+def offset_epoch(offset: Column) -> Column:
+    """Milliseconds since 1970 of a position in a log; 0 for none."""
+    return F.coalesce(uuid_timestamp(offset), F.lit(0).cast("bigint"))
+
+
+def throttle_entity(key: Column) -> Column:
+    """A name for what a key throttles that is fit for any identifier: its UTF-8 bytes as base64."""
+    return base64_line(F.encode(key, "UTF-8"))
+
+
 def java_hash(text: Column) -> Column:
     """The 32-bit string hash of the JVM, over UTF-16 units."""
     two32, two31 = F.lit(1 << 32).cast("bigint"), F.lit(1 << 31).cast("bigint")

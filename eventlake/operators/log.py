@@ -28,27 +28,28 @@ def events_log(events: DataFrame) -> DataFrame:
     return as_log(events, F.col("user_id"), [F.col("ts"), F.col("event_id")], F.col("ts"), F.col("event_type"), F.col("props"), F.col("value"), F.col("event_id"))
 
 
-def store(log: DataFrame, path: str, day_ms: int = 86_400_000) -> None:
-    """Write a numbered log once, so that later reads need no numbering and skip other tags and days.
+def store(log: DataFrame, path: str, day_ms: int = 86_400_000, number: int = 0) -> None:
+    """Write a numbered log, so that later reads need no numbering and skip other tags and days.
 
     Rows of a tag and day go to one folder, sorted by time: filters on tag and
-    timestamp_ms then reach the scan (see stored).
+    timestamp_ms then reach the scan (see stored). Spark splits a tag's day that
+    is too large for a task. What was stored under the same number before is replaced.
     """
     day = F.floor(F.col("timestamp_ms") / day_ms).cast("bigint")
-    dealt = log.withColumn("day", day).repartition("tag", "day").sortWithinPartitions("tag", "day", "timestamp_ms")
-    dealt.write.mode("append").partitionBy("tag", "day").parquet(path)
+    dealt = log.withColumn("day", day).hint("rebalance", "tag", "day").sortWithinPartitions("tag", "day", "timestamp_ms")
+    dealt.write.mode("overwrite").partitionBy("tag", "day").parquet(f"{path}/batch={number}")
 
 
 def stored(spark: SparkSession, path: str, tag: str | None = None, since_ms: int | None = None, until_ms: int | None = None, day_ms: int = 86_400_000) -> DataFrame:
-    """A stored log, or the part of it of a tag from a time on and before another; only that part's folders are read."""
-    found = spark.read.parquet(path)
+    """A stored log, all numbers together, or the part of it of a tag from a time on and before another; only that part's folders are read."""
+    found = spark.read.option("basePath", path).parquet(path)
     if tag is not None:
         found = found.where(F.col("tag") == tag)
     if since_ms is not None:
         found = found.where((F.col("day") >= since_ms // day_ms) & (F.col("timestamp_ms") >= since_ms))
     if until_ms is not None:
         found = found.where((F.col("day") <= until_ms // day_ms) & (F.col("timestamp_ms") < until_ms))
-    return found.drop("day")
+    return found.drop("day", "batch")
 
 
 def events_by_tag(log: DataFrame, tag: str, since: str | int | None = None, until: str | int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import unused
 from .log import contiguous_prefix
 
 EVERYONE = "*"
@@ -16,10 +17,11 @@ def sees(sites: Column, site: str) -> Column:
 
 def classify(log: DataFrame, sites: Column, local: str) -> DataFrame:
     """(persistence_id, master, sites): an entity is mastered where its first event's first site says; its sites are all ever named."""
-    named = log.withColumn("_sites", sites)
-    first = F.min_by("_sites", F.when(F.size(F.coalesce("_sites", F.array().cast("array<string>"))) > 0, F.col("sequence_nr")))
+    (own,) = unused(log, "_sites")
+    named = log.withColumn(own, sites)
+    first = F.min_by(own, F.when(F.size(F.coalesce(own, F.array().cast("array<string>"))) > 0, F.col("sequence_nr")))
     seen = named.groupBy("persistence_id").agg(F.coalesce(F.get(first, F.lit(0)) == local, F.lit(False)).alias("master"))
-    each = named.select("persistence_id", F.explode("_sites").alias("site")).distinct()
+    each = named.select("persistence_id", F.explode(own).alias("site")).distinct()
     sets = each.groupBy("persistence_id").agg(F.array_sort(F.collect_set("site")).alias("sites"))
     return seen.join(sets, "persistence_id", "left").withColumn("sites", F.coalesce("sites", F.array().cast("array<string>")))
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import chunk_key, chunk_start, java_shard, uuid_start_of, uuid_timestamp, uuid_v5
@@ -14,33 +13,9 @@ from ..operators import fold, log, runs, visibility
 from ..sources import chunks, control, csv_codec, framing, json_codec, xml_events, xsd
 from ..streaming import roles
 from ..tables import new_path, read_table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
-
-#: The log of the table events, for the SQL side.
-LOG = """log AS (
-  SELECT CAST(user_id AS VARCHAR) AS persistence_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence_nr,
-         epoch_us(ts) // 1000 AS timestamp_ms, event_type AS tag, props AS event, value, event_id
-  FROM events WHERE user_id IS NOT NULL)"""
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql.replace("{LOG}", LOG)
-        return f
-
-    return add
-
-
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.events_log(read_table(spark, sf_dir, "events"))
-
+from . import more  # noqa: F401
+from .registry import NAMESPACE, QUERIES, SQL, query  # noqa: F401
+from .registry import entity_log as _log
 
 # Reading the log
 
@@ -93,9 +68,8 @@ def entity_latest_state(spark, sf_dir):
 @query("""WITH {LOG} SELECT persistence_id, CAST(count(*) AS BIGINT) AS n, arg_max(tag, sequence_nr) AS last_tag,
 CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM log GROUP BY 1""")
 def entity_fold_total(spark, sf_dir):
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("last_tag"), F.lit(0).cast("bigint").alias("cents"))
-    total = fold.Fold(start, lambda s, e: F.struct((s["n"] + 1).alias("n"), e["tag"].alias("last_tag"), (s["cents"] + F.floor(e["value"] * 100)).alias("cents")))
-    return fold.fold_by_key(_log(spark, sf_dir), total, columns=("tag", "value")).select("persistence_id", "state.n", "state.last_tag", "state.cents")
+    whole = _log(spark, sf_dir).groupBy("persistence_id")
+    return whole.agg(F.count("*").alias("n"), F.max_by("tag", "sequence_nr").alias("last_tag"), F.sum(F.floor(F.col("value") * 100)).alias("cents"))
 
 
 @query("""WITH {LOG}, halves AS (SELECT max(CASE WHEN tag = 'purchase' THEN timestamp_ms END) AS a, max(CASE WHEN tag = 'error' THEN timestamp_ms END) AS b, persistence_id FROM log GROUP BY persistence_id)
@@ -308,14 +282,14 @@ def json_alternatives(spark, sf_dir):
     return events.withColumn("doc", text).select("event_id", value.alias("v"), error.isNotNull().alias("failed"))
 
 
-@query("""SELECT doc_id, nullif(text, '') AS text, '"' || source || '";' AS odd, CAST(n_chars AS BIGINT) AS n_chars FROM documents WHERE doc_id IS NOT NULL AND length(text) <= 65535""")
+@query("""SELECT doc_id, nullif(text, '') AS text, '"' || source || '";' AS odd, CAST(n_chars AS BIGINT) AS n_chars FROM documents WHERE doc_id IS NOT NULL""")
 def csv_roundtrip(spark, sf_dir):
     """Whole texts, with quotes, separators, blanks and line ends, as CSV records and back."""
     cols = ["doc_id", "text", "odd", "n_chars"]
-    docs = read_table(spark, sf_dir, "documents").where("doc_id is not null and length(text) <= 65535")
+    docs = read_table(spark, sf_dir, "documents").where("doc_id is not null")
     docs = docs.withColumn("odd", F.concat(F.lit('"'), "source", F.lit('";')))
     lines = docs.select(csv_codec.line([F.col(c) for c in cols]).alias("line"))
-    back = csv_codec.decode(lines, "line", cols, {"doc_id": "bigint", "text": "string", "odd": "string", "n_chars": "bigint"}, optional=("text",))
+    back = csv_codec.decode(lines, "line", cols, {"doc_id": "bigint", "text": "string", "odd": "string", "n_chars": "bigint"}, optional=("text",), settings=csv_codec.CsvSettings(longest_cell=(1 << 31) - 1))
     return back.where("error is null").select(*cols)
 
 

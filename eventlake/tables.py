@@ -26,13 +26,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of intermediate tables that this process has written.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, its lineage cut."""
+    """df as a Parquet table in the shared folder: computed once, its lineage cut, safe from lost executors (see remove_written)."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    _WRITTEN.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this process has written, once no result made of them is needed any more; how many there were."""
+    gone = sum(remove_folder(spark, path) for path in _WRITTEN)
+    _WRITTEN.clear()
+    return gone
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []
