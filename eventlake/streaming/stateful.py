@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def in_order(parts: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
-    """A key's new rows by their first column, over all the parts that they come in (one trigger's rows of one key)."""
+def in_order(parts: Iterable[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """A key's new rows by their first column, over all the parts that they come in (commands: one trigger's rows of one key)."""
     whole = pd.concat(list(parts), ignore_index=True).sort_values(columns[0], kind="stable")
     yield from zip(*(whole[c].tolist() for c in columns))
 
@@ -75,22 +75,24 @@ class Replica(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
-        out = []
-        for nr, at, event in in_order(rows, "sequence_nr", "timestamp_ms", "event"):
-            if nr <= last:
-                out.append((key[0], nr, at, event, "duplicate"))
-            elif nr > last + 1:
-                self.waiting.updateValue((nr,), (at, event))
-            else:
-                out.append((key[0], nr, at, event, "appended"))
-                last = nr
-                while self.waiting.containsKey((last + 1,)):
-                    at, event = self.waiting.getValue((last + 1,))
-                    self.waiting.removeKey((last + 1,))
-                    last += 1
-                    out.append((key[0], last, at, event, "appended"))
+        # part by part: what comes early waits in the state store, so a key's rows of one trigger never meet in memory
+        for part in rows:
+            out = []
+            for nr, at, event in in_order([part], "sequence_nr", "timestamp_ms", "event"):
+                if nr <= last:
+                    out.append((key[0], nr, at, event, "duplicate"))
+                elif nr > last + 1:
+                    self.waiting.updateValue((nr,), (at, event))
+                else:
+                    out.append((key[0], nr, at, event, "appended"))
+                    last = nr
+                    while self.waiting.containsKey((last + 1,)):
+                        at, event = self.waiting.getValue((last + 1,))
+                        self.waiting.removeKey((last + 1,))
+                        last += 1
+                        out.append((key[0], last, at, event, "appended"))
+            yield pd.DataFrame(out, columns=["persistence_id", "sequence_nr", "timestamp_ms", "event", "outcome"])
         self.last.update((last,))
-        yield pd.DataFrame(out, columns=["persistence_id", "sequence_nr", "timestamp_ms", "event", "outcome"])
 
     def close(self) -> None:
         pass
