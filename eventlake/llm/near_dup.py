@@ -7,11 +7,11 @@ maximum and agree about as often as the sets do. Four registers make a band;
 documents meet that agree in a band. In the first turns a member meets a few
 others of its bucket (heads of blocks, and neighbours under several orders), which
 brings nearly all that link into one component; in the last one those outside a
-bucket's largest component meet all others, so that no pair of a bucket stays
-undecided. Where a bucket holds many of both, they meet block by block: a task
-compares the registers of two blocks and gives only the pairs that are worth a
-test. A pair goes on to the exact test unless the joint likelihood of its
-registers all but excludes the wanted similarity.
+bucket's largest component meet all others that they may link with, so that no pair
+of a bucket stays undecided. Where a bucket holds many of both, its members are
+split by their rarest shingles: sets that are similar enough share one within a short
+prefix of both, so only those that do meet. A pair goes on to the exact test unless the
+joint likelihood of its registers all but excludes the wanted similarity.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ TURNS, TURN = 2, 7
 CROWD = 64
 #: Members outside of a bucket's largest component, up to which they meet all others as rows in the end.
 FEW = 8
-#: Members of a block; beyond the two numbers above, blocks meet in the end.
-BLOCK = 1024
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _TIMES = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -144,39 +142,59 @@ def _likely(percent: int):
     return run
 
 
-def _blocks(percent: int):
-    """Of a block of outsiders and a block of members of one bucket: the pairs (a, b) that are worth a test.
+def _likely_in_band(percent: int):
+    """Of pairs (see _likely) those that agree in a whole band and are worth a test."""
 
-    A pair that agrees in an earlier band too is left to that band's bucket.
-    """
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(part: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = (_read_registers(part.column(c)) for c in ("ra", "rb"))
+            return part.filter(pa.array((a == b).reshape(-1, BANDS, ROWS).all(2).any(1)))
 
-    def run(outside: pa.Table, members: pa.Table) -> pa.Table:
-        found = [np.empty((2, 0), np.int64)]
-        if outside.num_rows and members.num_rows:
-            (xi, xc, xn), (yi, yc, yn) = ([t.column(c).to_numpy() for c in ("id", "component", "n")] for t in (outside, members))
-            x, y = _read_registers(outside.column("regs")), _read_registers(members.column("regs"))
-            columns, band, main = np.ascontiguousarray(y.T), outside.column("band")[0].as_py(), members.column("main")[0].as_py()
-            for at in range(0, len(x), 64):
-                i = slice(at, at + 64)
-                same = np.zeros((len(x[i]), len(y)), np.uint8)
-                for mine, theirs in zip(x[i].T, columns):
-                    same += mine[:, None] == theirs
-                ok = (same >= _agreeing(percent)) & (xc[i, None] != yc) & ((yc == main) | (xi[i, None] < yi))
-                ok &= 100 * np.minimum(xn[i, None], yn) >= percent * np.maximum(xn[i, None], yn)
-                p, q = np.nonzero(ok)
-                p += at
-                for k in range(0, len(p), 4000):
-                    u, v = p[k : k + 4000], q[k : k + 4000]
-                    first = (x[u] == y[v]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-                    u, v = u[first], v[first]
-                    keep = _worth(x[u], y[v], xn[u].astype(float), yn[v].astype(float), percent)
-                    found.append(np.sort(np.stack([xi[u[keep]], yi[v[keep]]]), axis=0))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield from _likely(percent)(met(batch.slice(at, 4000)) for batch in rows for at in range(0, batch.num_rows, 4000))
 
     return run
 
 
+def _shingles(k: int):
+    """(id, shingle): the distinct shingles of each text, as hashes."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words, bound = word_hashes([t.encode().lower() for t in part.column(1).to_pylist()])
+                sets = [np.unique(shingle_hashes(words[bound[i] : bound[i + 1]], k)).view(np.int64) for i in range(part.num_rows)]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
+
+    return run
+
+
+def sharing_rare(members: DataFrame, texts: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b) of members in different components whose sets can reach the similarity, by prefix filtering.
+
+    Shingles are ordered by how few members have them. Two sets of sizes m <= n that
+    reach it share at least p / (100 + p) * (m + n) shingles, so one that both have
+    stands within the first m - 2 p m / (100 + p) + 1 of the smaller set and the first
+    n - p n / 100 + 1 of the larger one: only such places are joined, and of those only where
+    enough shingles follow in both sets, as they do behind the first that both have. No pair is left out.
+    """
+    sets = texts.join(members.select("id").hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(_shingles(k), "id long, shingle long")
+    sets = written(sets, "shingles")
+    counts = sets.groupBy("shingle").agg(F.count("*").alias("met"))
+    counted = join_crowded(sets, counts, ["shingle"], F.col("met") > most)
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("met", "shingle")))
+    size = F.col("n").cast("long")
+    rows = placed.join(members.select("id", "n", "component").hint("merge"), "id").where(F.col("place") <= size - F.ceil(percent * size / 100) + 1)
+    rows = written(rows.where("met > 1").select("shingle", "id", "n", "component", "place", (F.col("place") <= size - F.ceil(2 * percent * size / (100 + percent)) + 1).alias("short")), "prefixes")
+    x, y = (rows.select("shingle", F.struct("n", "id", "component", "place").alias(c), *more) for c, more in (("x", ["short"]), ("y", [])))
+    pairs = x.where("short").drop("short").join(y.hint("merge"), "shingle")
+    pairs = pairs.where((F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.col("x.n") >= percent * F.col("y.n")))
+    needed = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    pairs = pairs.where(F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1 >= needed)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _verify(k: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -243,14 +261,14 @@ def candidates(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.where(_met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other")))
 
 
-def remaining(members: DataFrame, percent: int, most: int) -> DataFrame:
+def remaining(members: DataFrame, texts: DataFrame, k: int, percent: int, most: int) -> DataFrame:
     """Pairs (a, b) worth a test of a bucket's members that aren't in one component yet, all of them.
 
     A member outside of its bucket's largest component is an outsider. Outsiders
-    meet every member of other components: as rows where the bucket has up to
-    ``FEW`` outsiders or ``CROWD`` members, so many pairs a member at most; else
-    in blocks of about ``BLOCK`` outsiders and ``BLOCK`` members, each pair of
-    blocks in one group. The parts (salts) of a crowded bucket are met one by one.
+    meet every member of other components as rows where the bucket has up to
+    ``FEW`` outsiders or ``CROWD`` members, so many pairs a member at most; in other
+    buckets those with which they share a rare shingle (see sharing_rare). The
+    parts (salts) of a crowded bucket are met one by one.
     """
     each = members.groupBy("key", "component").agg(F.count("*").alias("n_own"))
     main = each.groupBy("key").agg(F.max_by("component", F.struct("n_own", "component")).alias("main"), F.max("n_own").alias("n_main"), F.sum("n_own").alias("size")).where("size > n_main")
@@ -264,13 +282,14 @@ def remaining(members: DataFrame, percent: int, most: int) -> DataFrame:
     once = (F.col("other.component") == F.col("main")) | (F.col("me.id") < F.col("other.id"))
     pairs = pairs.where(once & _met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other"))).mapInArrow(_likely(percent), "a long, b long")
 
-    many, by = open_.where(~few), ["key", "mine", "theirs"]
-    mine, theirs = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("n_main"), F.col("size")))
-    own = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    some = many.where("component <> main").select("key", "band", "id", "component", "n", "regs", own(mine).alias("mine"), every(theirs).alias("theirs"))
-    others = many.select("key", "main", "id", "component", "n", "regs", every(mine).alias("mine"), own(theirs).alias("theirs"))
-    return pairs.union(some.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(_blocks(percent), "a long, b long"))
+    many = open_.where(~few).select("id", "component", "n", "regs").dropDuplicates(["id"])
+    if many.isEmpty():
+        return pairs
+    many = written(many, "crowded")
+    near = sharing_rare(many, texts, k, percent, most)
+    a, b = (many.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("regs").alias(f"r{i}")) for i in "ab")
+    near = near.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    return pairs.union(near.mapInArrow(_likely_in_band(percent), "a long, b long"))
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
@@ -308,7 +327,7 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int,
     tested, comp = None, None
     for turn in range(TURNS + 1):
         last = turn == TURNS
-        pairs = remaining(members(comp), percent, most) if last else candidates(members(comp), turn, percent).mapInArrow(_likely(percent), "a long, b long")
+        pairs = remaining(members(comp), texts, k, percent, most) if last else candidates(members(comp), turn, percent).mapInArrow(_likely(percent), "a long, b long")
         likely, new = verified(pairs, tested)
         tested = likely if tested is None else tested.union(likely)
         if not new.isEmpty():

@@ -101,8 +101,9 @@ def test_components(spark):
 
 @pytest.mark.parametrize("turns", [0, 2])
 def test_crowd_of_near_copies_at_every_distance(spark, monkeypatch, turns):
-    """One large group around the threshold, in buckets that are parted and meet by blocks in the end: no link lost."""
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    """One large group around the threshold, in buckets that are parted and meet by their rare shingles in the end: no link lost."""
+    monkeypatch.setattr(near_dup, "CROWD", 4)
+    monkeypatch.setattr(near_dup, "FEW", 1)
     monkeypatch.setattr(near_dup, "TURNS", turns)
     monkeypatch.setattr(near_dup, "crowd", lambda rows, least: 50)
     monkeypatch.setattr(graph, "crowd", lambda rows, least: 5)
@@ -118,3 +119,22 @@ def test_crowd_of_near_copies_at_every_distance(spark, monkeypatch, turns):
     found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
     want = brute(rows, 4, 80)
     assert len({v[1] for v in want.values()}) > 20 and found == want
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 80), (5, 60), (2, 95)])
+def test_prefixes_lose_no_pair(spark, k, percent):
+    """All pairs of different components at or above the similarity share a rare shingle, and few others do."""
+    rng = random.Random(k)
+    base, rows = [f"w{i}" for i in range(50)], [(900, "alone"), (901, "alone"), (902, "alone again")]
+    for i in range(120):
+        w = list(base)[: rng.randrange(30, 51)]
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"x{i}{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
+    members = spark.createDataFrame([(i, len(sets[i]), i % 50) for i in sets], "id long, n long, component long")
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = {(r.a, r.b) for r in near_dup.sharing_rare(members, texts, k, percent, 40).collect()}
+    every = [(a, b) for a in sets for b in sets if a < b and a % 50 != b % 50]
+    want = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert want and want <= found and len(found) < len(every) / 2
