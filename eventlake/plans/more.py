@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, text
 from ..operators import fold, log, runs
-from ..sources import chunks, control, csv_codec, framing, json_codec, xsd
+from ..sources import chunks, control, csv_codec, framing, json_codec, ranges, xsd
 from ..streaming import materialize
 from ..tables import new_path, read_table
 from .registry import NAMESPACE, query
@@ -217,3 +217,14 @@ def replayed_slice(spark, sf_dir):
         materialize.replay(_log(spark, sf_dir).select("persistence_id", "sequence_nr", "timestamp_ms"), apply, 1_704_844_800_000, 1_705_017_600_000)
     same = Window.partitionBy("timestamp_ms")
     return materialize.merged(spark, path, ["persistence_id", "sequence_nr"]).select("persistence_id", "sequence_nr", F.count("*").over(same).alias("n"))
+
+
+@query("WITH {LOG} SELECT persistence_id, sequence_nr, timestamp_ms, event FROM log")
+def framing_ranges(spark, sf_dir):
+    """The log in a few files of messages, read again in pieces of 4,096 bytes that know nothing of where a message begins; each file ends with a message of one line feed."""
+    path = new_path(spark, "messages")
+    frames = _log(spark, sf_dir).select((F.col("persistence_id").cast("int") % 5).alias("file"), F.concat_ws("-", F.lpad("persistence_id", 9, "0"), F.lpad(F.col("sequence_nr").cast("string"), 9, "0")).alias("nr"), framing.envelope_frame("persistence_id", "sequence_nr", "timestamp_ms", "event").alias("content"))
+    files = framing.concatenated(frames, ["file"], "nr").select(F.concat("content", F.lit(b"\x01")).cast("string").alias("value"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    back = framing.decode_messages(ranges.messages(spark, path, 4096).where(F.col("message") != F.lit(b"\n")))
+    return back.select("persistence_id", "sequence_nr", "timestamp_ms", F.col("event").cast("string").alias("event"))

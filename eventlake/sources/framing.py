@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MOST = (1 << 31) - 1
 
@@ -106,6 +107,20 @@ def decode_frames(files: DataFrame, content: str = "content", rows: int = 5000)
     return files.select(F.col(content).cast("binary")).mapInArrow(run, ENVELOPE_SCHEMA)
 
 
+def decode_messages(messages: DataFrame, column: str = "message") -> DataFrame:
+    """messages with the envelope's columns in place of a column of bare messages (without their lengths); null is an empty envelope."""
+    stay = [c for c in messages.columns if c != column]
+    kinds = StructType([*messages.select(*stay).schema.fields, *StructType.fromDDL(ENVELOPE_SCHEMA).fields])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                made = _batch([decode_envelope(v.as_py() or b"") for v in part.column(column)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), *made.columns], [*stay, *made.schema.names])
+
+    return messages.mapInArrow(run, kinds)
+
+
 class Deframer:
     """Messages out of the chunks of one byte stream, cut anywhere; what a chunk leaves unfinished waits for the next one."""
 
