@@ -19,19 +19,23 @@ PROBE = "SELECT -7L AS conv_id, n AS turn, role, '</s>[INST] ok [/INST]' AS text
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document contains, renamed or renumbered ones too."""
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts and whether its histograms lie near those of its language."""
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
 def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation's turns and trained replies, read back from its formatted examples."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.expand(turns.unionByName(spark.sql(PROBE))))
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by pseudonyms of the same format."""
     return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY, count_col="n_replaced")
 
 
@@ -42,10 +46,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host and path, and the longest rule that fits them."""
     return urls.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each document that near-duplicate passages of others."""
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
@@ -58,10 +64,12 @@ def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's near-duplicate group, its smallest id, and whether it stays."""
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity by a model of the labelled rows that aren't held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score")

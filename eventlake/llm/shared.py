@@ -1,44 +1,11 @@
-"""Small helpers of the text operators: tables, written intermediate results, argument checks."""
+"""Small helpers of the text operators: those of the library's tables, argument checks, joins of crowded keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session names none, one is made under /tmp in a local session (a
-    test) only; on a cluster that is an error, as machines don't share folders.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(folder := tempfile.mkdtemp(prefix="checkpoints-"))
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..tables import new_path, read_table, shared_folder, unused, written  # noqa: F401
 
 
 def need_columns(df: DataFrame, *names: str) -> None:
@@ -47,16 +14,6 @@ def need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with underscores added until no column of df has it."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def join_crowded(left: DataFrame, right: DataFrame, keys: list[str], crowded: Column) -> DataFrame:
     """left joined with right, which has one row a key; keys of which left has very many rows don't meet in one task.
 

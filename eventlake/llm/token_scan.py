@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import need_columns, written
+from .shared import need_columns, unused, written
 
 SEPARATOR = 50256
 #: Documents a written file holds.
@@ -164,6 +164,7 @@ def document_lengths(spark: SparkSession, path: str, separator: int = SEPARATOR)
 
 def with_documents(lengths: DataFrame, at: DataFrame) -> DataFrame:
     """lengths (see document_lengths) with the columns of at (see places); a document without a row, or a row without a document, is an error."""
-    both = lengths.withColumn("_scanned", F.lit(True)).join(at.withColumn("_written", F.lit(True)), ["file", "ordinal"], "full")
+    (scanned,), (wrote,) = unused(at, "_scanned"), unused(at, "_written")
+    both = lengths.withColumn(scanned, F.lit(True)).join(at.withColumn(wrote, F.lit(True)), ["file", "ordinal"], "full")
     wrong = F.raise_error(F.concat(F.lit("files and rows differ at "), F.col("file"))).cast("boolean")
-    return both.where(F.when(F.col("_scanned") & F.col("_written"), True).otherwise(wrong)).drop("_scanned", "_written")
+    return both.where(F.when(F.col(scanned) & F.col(wrote), True).otherwise(wrong)).drop(scanned, wrote)
