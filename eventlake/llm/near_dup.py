@@ -38,6 +38,8 @@ TURNS, TURN = 2, 7
 CROWD = 64
 #: Members outside of a bucket's largest component, up to which they meet all others as rows in the end.
 FEW = 8
+#: Slots that shingles are counted in, to put rare ones first; a power of two.
+SLOTS = 1 << 16
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _TIMES = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -155,38 +157,70 @@ def _likely_in_band(percent: int):
     return run
 
 
-def _shingles(k: int):
-    """(id, shingle): the distinct shingles of each text, as hashes."""
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, in pieces of bounded size."""
+    for at in range(0, len(texts), 500):
+        words, bound = word_hashes([t.encode().lower() for t in texts.slice(at, 500).to_pylist()])
+        yield from (np.unique(shingle_hashes(words[bound[i] : bound[i + 1]], k)) for i in range(len(bound) - 1))
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _slot_counts(k: int):
+    """(slot, n): how many shingles of a partition's sets fall into each slot."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in rows:
+            for s in _sets(batch.column(0), k):
+                total += np.bincount(_slot(s), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    return run
+
+
+def _prefixes(shared, k: int, percent: int):
+    """(shingle, id, n, component, place, short): the first places of each set in the order of slots' counts, as far as prefix filtering needs them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = shared.value
         for batch in rows:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                words, bound = word_hashes([t.encode().lower() for t in part.column(1).to_pylist()])
-                sets = [np.unique(shingle_hashes(words[bound[i] : bound[i + 1]], k)).view(np.int64) for i in range(part.num_rows)]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
+            ids, components = (batch.column(c).to_pylist() for c in (0, 2))
+            for id_, component, s in zip(ids, components, _sets(batch.column(1), k)):
+                n = len(s)
+                count = met[_slot(s)]
+                long, short = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                first = np.lexsort((s, count))[:long]
+                place = np.arange(1, len(first) + 1)
+                kept = count[first] > 1  # alone in its slot: in no other set
+                columns = [s[first].view(np.int64), np.full(len(first), id_), np.full(len(first), n), np.full(len(first), component), place]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[kept], pa.int64()) for c in columns), pa.array((place <= short)[kept])], ["shingle", "id", "n", "component", "place", "short"])
 
     return run
 
 
-def sharing_rare(members: DataFrame, texts: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+def sharing_rare(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of members in different components whose sets can reach the similarity, by prefix filtering.
 
-    Shingles are ordered by how few members have them. Two sets of sizes m <= n that
-    reach it share at least p / (100 + p) * (m + n) shingles, so one that both have
+    Shingles are put in one order, the rare ones first: by the number of shingles in their
+    slot, one of ``SLOTS`` that hashes fall into (any order is right; this one needs no
+    more than the slots' counts on the driver). Two sets of sizes m <= n that reach
+    the similarity share at least p / (100 + p) * (m + n) shingles, so one that both have
     stands within the first m - 2 p m / (100 + p) + 1 of the smaller set and the first
     n - p n / 100 + 1 of the larger one: only such places are joined, and of those only where
     enough shingles follow in both sets, as they do behind the first that both have. No pair is left out.
     """
-    sets = texts.join(members.select("id").hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(_shingles(k), "id long, shingle long")
-    sets = written(sets, "shingles")
-    counts = sets.groupBy("shingle").agg(F.count("*").alias("met"))
-    counted = join_crowded(sets, counts, ["shingle"], F.col("met") > most)
-    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("met", "shingle")))
-    size = F.col("n").cast("long")
-    rows = placed.join(members.select("id", "n", "component").hint("merge"), "id").where(F.col("place") <= size - F.ceil(percent * size / 100) + 1)
-    rows = written(rows.where("met > 1").select("shingle", "id", "n", "component", "place", (F.col("place") <= size - F.ceil(2 * percent * size / (100 + percent)) + 1).alias("short")), "prefixes")
+    held = texts.join(members.select("id", "component").dropDuplicates(["id"]).hint("merge"), "id").select("id", "text", "component")
+    counts = held.select("text").mapInArrow(_slot_counts(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    met = np.zeros(SLOTS, np.int64)
+    for r in counts:
+        met[r.slot] = r.n
+    shared = held.sparkSession.sparkContext.broadcast(met)
+    rows = held.mapInArrow(_prefixes(shared, k, percent), "shingle long, id long, n long, component long, place long, short boolean")
+    rows = written(rows, "prefixes")
     x, y = (rows.select("shingle", F.struct("n", "id", "component", "place").alias(c), *more) for c, more in (("x", ["short"]), ("y", [])))
     pairs = x.where("short").drop("short").join(y.hint("merge"), "shingle")
     pairs = pairs.where((F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.col("x.n") >= percent * F.col("y.n")))
@@ -282,11 +316,11 @@ def remaining(members: DataFrame, texts: DataFrame, k: int, percent: int, most:
     once = (F.col("other.component") == F.col("main")) | (F.col("me.id") < F.col("other.id"))
     pairs = pairs.where(once & _met(F.col("me"), F.col("other"), percent)).select(*_pair(F.col("me"), F.col("other"))).mapInArrow(_likely(percent), "a long, b long")
 
-    many = open_.where(~few).select("id", "component", "n", "regs").dropDuplicates(["id"])
+    many = open_.where(~few).select("id", "component", "n", "regs").distinct()
     if many.isEmpty():
         return pairs
     many = written(many, "crowded")
-    near = sharing_rare(many, texts, k, percent, most)
+    near = sharing_rare(many, texts, k, percent)
     a, b = (many.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("regs").alias(f"r{i}")) for i in "ab")
     near = near.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "na", "nb", "ra", "rb")
     return pairs.union(near.mapInArrow(_likely_in_band(percent), "a long, b long"))

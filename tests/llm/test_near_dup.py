@@ -134,7 +134,7 @@ def test_prefixes_lose_no_pair(spark, k, percent):
     sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
     members = spark.createDataFrame([(i, len(sets[i]), i % 50) for i in sets], "id long, n long, component long")
     texts = spark.createDataFrame(rows, "id long, text string")
-    found = {(r.a, r.b) for r in near_dup.sharing_rare(members, texts, k, percent, 40).collect()}
+    found = {(r.a, r.b) for r in near_dup.sharing_rare(members, texts, k, percent).collect()}
     every = [(a, b) for a in sets for b in sets if a < b and a % 50 != b % 50]
     want = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert want and want <= found and len(found) < len(every) / 2
