@@ -1,10 +1,11 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
 Every assistant turn becomes an example of its own: all turns before it are the
-context, and only its reply is trainable. The text of an example is never
-repeated in its successors: a row holds what follows the reply before (`added`,
+context, and only its reply is trainable. The text of an example is not
+stored again in its successors: a row of `expand` holds what follows the reply before (`added`,
 then `target`), the place of both in the conversation and how long the whole
-context is; `with_context` writes examples out in full.
+context is; `with_context` writes examples out in full, and what is read back is
+read from those.
 
 Template: a turn is ``<s>role\\ntext</s>``. Control strings within a role or text
 get a backslash behind their first character, ones that have some there already
@@ -84,28 +85,41 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
-def with_context(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def with_context(examples: DataFrame, conv_col: str = "conv_id", tails: bool = False) -> DataFrame:
     """Trainable examples in full: context (every turn before and the reply's mark) and target.
 
     Contexts repeat earlier turns, so this grows with the square of a
-    conversation's length; write it out only as the last step before training.
+    conversation's length; rows flow through one sorted window, and only one
+    example's text is made at a time. With tails, the rows of turns after the
+    last reply stay as well: the whole conversation is their context, trainable
+    is false, the target empty and its place null.
     """
     before = Window.partitionBy(conv_col).orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
     past = F.array_join(F.collect_list(F.concat("added", "opening", "target", "closing")).over(before), "")
     full = examples.withColumn("context", F.concat(past, F.col("added"), F.col("opening")))
-    return full.where("trainable").select(conv_col, "example", "context", "target", "closing", "loss_start", "loss_end")
+    kept = [conv_col, "example", "context", "target", "closing", "loss_start", "loss_end"]
+    return full.select(*kept, "trainable") if tails else full.where("trainable").select(*kept)
 
 
-def read_back(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Each conversation as its examples tell it: turns (role, text), losses (unescaped replies) and the formatted text."""
-    row = F.struct("example", F.concat("added", "opening", "target", "closing").alias("text"), F.when(F.col("trainable"), unescape(F.col("target"))).alias("loss"))
-    whole = examples.groupBy(conv_col).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    formatted = F.array_join(F.transform("_rows", lambda r: r["text"]), "")
+def read_full(full: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """Each conversation as its full examples (with tails) tell it: turns (role, text), losses (unescaped replies) and the formatted text.
+
+    A loss is what an example's own text has under its mask; the turns are those
+    of the longest example, as every other is a part of it. No more than one
+    example of a conversation is held in full.
+    """
+    text = F.concat("context", "target", "closing")
+    loss = unescape(F.substring(text, (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    told = full.select(conv_col, "example", text.alias("_text"), F.when(F.col("trainable"), F.struct("example", loss.alias("loss"))).alias("_loss"))
+    whole = told.groupBy(conv_col).agg(F.max_by("_text", "example").alias("formatted"), F.array_sort(F.collect_list("_loss")).alias("_losses"))
     marked = F.filter(F.split(F.col("formatted"), "</s>", -1), lambda p: p != "")
     turn = lambda p: F.struct(_role_back(F.substring_index(p.substr(F.lit(4), F.length(p)), "\n", 1)).alias("role"), unescape(p.substr(F.locate("\n", p) + 1, F.length(p))).alias("text"))
-    return whole.withColumn("formatted", formatted).select(
-        conv_col, "formatted", F.transform(marked, turn).alias("turns"), F.filter(F.transform("_rows", lambda r: r["loss"]), lambda x: x.isNotNull()).alias("losses")
-    )
+    return whole.select(conv_col, "formatted", F.transform(marked, turn).alias("turns"), F.transform("_losses", lambda r: r["loss"]).alias("losses"))
+
+
+def read_back(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """Each conversation as its examples, expanded to all turns before each reply, tell it (see read_full)."""
+    return read_full(with_context(examples, conv_col, tails=True), conv_col)
 
 
 def digests(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -46,3 +46,16 @@ def test_ties_and_empty(spark):
     df = spark.createDataFrame(same, "conv_id long, turn long, role string, text string")
     assert [t.text for t in chat.read_back(chat.expand(df)).first().turns] == ["a", "a", "b"]
     assert chat.expand(df.limit(0)).collect() == []
+
+
+def test_read_back_from_examples_in_full(spark):
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1</s>"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "q3"), (2, 0, "user", "q"), (3, 0, "user", "q"), (3, 1, "assistant", "last")]
+    examples = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    full = chat.with_context(examples, tails=True)
+    assert {(r.conv_id, r.example, r.trainable) for r in full.collect()} == {(1, 0, True), (1, 1, True), (1, 2, False), (2, 0, False), (3, 0, True)}
+    back = {r.conv_id: r for r in chat.read_full(full).collect()}
+    assert [t.text for t in back[1].turns] == ["q1", "a1</s>", "q2", "a2", "q3"] and back[1].losses == ["a1</s>", "a2"] and back[3].losses == ["last"] and back[2].losses == []
+    # what is read is what the examples hold: their own text under their own mask, and the turns of the longest
+    changed = full.selectExpr("conv_id", "example", "replace(context, 'q1', 'Q1') as context", "replace(target, 'a', 'b') as target", "closing", "loss_start", "loss_end", "trainable")
+    other = {r.conv_id: r for r in chat.read_full(changed).collect()}
+    assert [t.text for t in other[1].turns] == ["Q1", "a1</s>", "q2", "a2", "q3"] and other[1].losses == ["b1</s>", "b2"]
