@@ -183,11 +183,12 @@ def train(
 ) -> Model:
     """Fit on a bounded sample of labelled rows that aren't held out.
 
-    At most most_toxic rows of label 1 and most_clean of label 0 come to the
-    driver, chosen by a hash of the id, whole texts each; where they exceed
+    At most most_toxic rows of label 1 and most_clean of label 0 come to one
+    task, chosen by a hash of the id, whole texts each; where they exceed
     most_chars code points together, the longest are left out. Null labels, ids
     and texts, and texts without a word, don't count; a repeated label row counts
-    once; a repeated id gives the least of its texts. Without rows, or with those
+    once; a repeated id gives the least of its texts. Only the model comes to the
+    driver, neither texts nor what training holds. Without rows, or with those
     of one label only, scores are constant.
     """
     need_columns(docs, id_col, text_col)
@@ -198,11 +199,20 @@ def train(
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     rows = found.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     so_far = F.sum(F.length("_text")).over(Window.orderBy(F.length("_text"), "_id", "_label").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over the few thousand chosen rows
-    rows = rows.where(F.length("_text") <= most_chars).withColumn("_sum", so_far).where(F.col("_sum") <= most_chars).drop("_sum").toArrow()
-    rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("_id", "_label", "_text"))))
+    rows = rows.where(F.length("_text") <= most_chars).withColumn("_sum", so_far).where(F.col("_sum") <= most_chars).drop("_sum")
+    made = rows.mapInArrow(_fitted, "weight binary, bias double").toArrow().to_pylist()  # the window has brought them into one task
+    return Model(np.frombuffer(made[0]["weight"], np.float32), made[0]["bias"]) if made else fit([], [])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the model that the rows (id, label, text) of all batches give, in the order of their values."""
+    rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
     texts, marks = [r[2] for r in rows], [r[1] for r in rows]
+    if not rows:
+        return
     del rows
-    return fit(texts, marks)
+    model = fit(texts, marks)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([float(model.bias)])], ["weight", "bias"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

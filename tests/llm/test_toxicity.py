@@ -64,3 +64,17 @@ def test_held_out_accuracy(spark):
     caught = [p for p, y in rows if y]
     wrong = [p for p, y in rows if not y]
     assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.06 * len(wrong)
+
+
+def test_the_driver_gets_the_model_only(spark, monkeypatch):
+    rows = [(i, ("vile hateful scum " if i % 3 == 0 else "kind gentle words ") * 9 + f"t{i}", int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = sorted(r for r in df.where(~toxicity.held_out("doc_id")).collect())
+    want = toxicity.fit([r[1] for r in learned], [r[2] for r in learned])
+
+    def refused(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "fit", refused)  # tasks import the module anew
+    got = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert (got.weight == want.weight).all() and got.bias == want.bias
