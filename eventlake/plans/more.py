@@ -221,10 +221,11 @@ def replayed_slice(spark, sf_dir):
 
 @query("WITH {LOG} SELECT persistence_id, sequence_nr, timestamp_ms, event FROM log")
 def framing_ranges(spark, sf_dir):
-    """The log in a few files of messages, read again in pieces of 4,096 bytes that know nothing of where a message begins; each file ends with a message of one line feed."""
+    """The log in files of messages, read again in pieces of 4,096 bytes that know nothing of where a message begins; a message of one line feed follows up to 500 of an entity, so that no file is held whole to be written."""
     path = new_path(spark, "messages")
-    frames = _log(spark, sf_dir).select((F.col("persistence_id").cast("int") % 5).alias("file"), F.concat_ws("-", F.lpad("persistence_id", 9, "0"), F.lpad(F.col("sequence_nr").cast("string"), 9, "0")).alias("nr"), framing.envelope_frame("persistence_id", "sequence_nr", "timestamp_ms", "event").alias("content"))
-    files = framing.concatenated(frames, ["file"], "nr").select(F.concat("content", F.lit(b"\x01")).cast("string").alias("value"))
-    files.write.option("encoding", "ISO-8859-1").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    part = F.floor(F.col("sequence_nr") / 500).alias("part")
+    frames = _log(spark, sf_dir).select((F.col("persistence_id").cast("int") % 5).alias("file"), "persistence_id", part, "sequence_nr", framing.envelope_frame("persistence_id", "sequence_nr", "timestamp_ms", "event").alias("content"))
+    lines = framing.concatenated(frames, ["file", "persistence_id", "part"], "sequence_nr").select("file", F.concat("content", F.lit(b"\x01")).cast("string").alias("value"))
+    lines.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
     back = framing.decode_messages(ranges.messages(spark, path, 4096).where(F.col("message") != F.lit(b"\n")))
     return back.select("persistence_id", "sequence_nr", "timestamp_ms", F.col("event").cast("string").alias("event"))

@@ -2,10 +2,12 @@
 
 Where a message begins in the middle of a file depends on all before it. So each
 piece of a file is looked at from every start that it might have: where the chain of
-messages from there leaves the piece. Chains soon meet, so a piece has few exits; the
-exits of all pieces are all the entries that there can be, and following them from
-the start of the file, a step a piece, tells the true ones. Then pieces are read on
-their own, and messages that cross pieces are put together from their parts.
+messages from there leaves the piece. Chains soon meet, so most starts of a piece have
+one of a few exits; these are tried as entries, and following them from the start of
+the file, a step a piece, tells the true ones. A file whose true chain leaves them is
+followed once more through the exits of all starts, which are all the entries that
+there can be. Then pieces are read on their own, and messages that cross pieces are
+put together from their parts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .framing import MOST, read_varint
 PIECE, LONGEST = 1 << 20, 10
 MARK = b"\xef\xbb\xbf"
 DEAD = -1
+EDGE = "file string, entry long, exit long"
+#: Exits of a piece, the commonest ones, that are tried as entries before all are.
+GUESSES = 8
 
 
 def _ranges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +96,8 @@ def exits(data: np.ndarray, n: int, room: int) -> np.ndarray:
     return to
 
 
-def _exits(size: int):
-    """(file, entry, exit) of a piece for its ``entries``; in a table without them all starts' distinct exits within the file, without their entries."""
+def _exits(size: int, most: int | None = None):
+    """(file, entry, exit) of a piece for its ``entries``; in a table without them the distinct exits of all starts (the ``most`` commonest) within the file, without their entries."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -105,8 +110,11 @@ def _exits(size: int):
                     exit_ = to[entry - base]
                     exit_ = np.where(exit_ >= 0, exit_ + base, DEAD)
                 else:
-                    exit_ = np.unique(to[:1] if base == 0 else to)
-                    exit_ = exit_[(exit_ >= 0) & (exit_ < r["total"] - base)] + base
+                    to = to[:1] if base == 0 else to
+                    exit_, times = np.unique(to[(to >= 0) & (to < r["total"] - base)], return_counts=True)
+                    if most is not None and len(exit_) > most:
+                        exit_ = exit_[np.argpartition(times, -most)[-most:]]
+                    exit_ = exit_ + base
                     entry = np.full(len(exit_), DEAD)
                 for i in range(0, len(entry), 50_000):
                     part = entry[i : i + 50_000], exit_[i : i + 50_000]
@@ -116,20 +124,40 @@ def _exits(size: int):
 
 
 def _follow(size: int):
-    def run(edges: pa.Table) -> pa.Table:
-        """The true entries of a file: from its start on, exit after exit."""
-        file, total = edges.column("file")[0].as_py(), edges.column("total")[0].as_py()
-        to = dict(zip(edges.column("entry").to_pylist(), edges.column("exit").to_pylist()))
-        at, found = 0, []
-        while at < total:
-            found.append(at)
-            if (at := to[at]) == DEAD:
-                raise ValueError(f"{file}: a message behind byte {found[-1]} has a bad length or is cut off")
-        return pa.table({"file": pa.array([file] * len(found), pa.string()), "piece": pa.array([e // size for e in found], pa.int64()), "entry": pa.array(found, pa.int64())})
+    """(file, piece, entry): the true entries of each file, from its start on, exit after exit; DEAD for a piece, with the entry, where the next one isn't among the edges. Edges come by file and entry, and only the place is held."""
+
+    def run(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, total, at = None, 0, 0
+        for batch in edges:
+            found = []
+            for f, entry, exit_, n in zip(*(batch.column(c).to_pylist() for c in ("file", "entry", "exit", "total"))):
+                if f != file:
+                    if at < total:
+                        found.append((file, DEAD, at))
+                    file, total, at = f, n, 0
+                if entry == at:
+                    found.append((file, at // size, at))
+                    if (at := exit_) == DEAD:
+                        raise ValueError(f"{file}: a message behind byte {entry} has a bad length or is cut off")
+            yield _entries(found)
+        yield _entries([(file, DEAD, at)] if at < total else [])
 
     return run
 
 
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["file", "piece", "entry"])
+
+
+def _true_entries(pieces: DataFrame, able: DataFrame, size: int) -> DataFrame:
+    """The true entries of files of pieces, as far as they are among those in able: see _follow."""
+    grouped = able.distinct().groupBy("file", F.floor(F.col("entry") / size).alias("piece")).agg(F.collect_list("entry").alias("entries"))
+    edges = pieces.join(grouped, ["file", "piece"]).mapInArrow(_exits(size), EDGE)
+    edges = edges.join(pieces.where("piece = 0").select("file", "total"), "file").repartition("file").sortWithinPartitions("file", "entry")
+    return written(edges.mapInArrow(_follow(size), "file string, piece long, entry long"), "entries")
+
+
 def _messages(size: int):
     """Of a piece its whole messages (end null), and parts of those that cross its ends (end: where the message ends)."""
 
@@ -168,8 +196,10 @@ def _without_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def messages(spark: SparkSession, path: str, size: int = PIECE) -> DataFrame:
     """(file, at, message): all messages of the files below path, and where in its file each begins (with its length).
 
-    A file is many tasks: pieces of ``size`` bytes (10 at least). Only the few entries of a
-    file's pieces, some numbers a piece, go through one task. Empty files hold no
+    A file is many tasks: pieces of ``size`` bytes (10 at least). Only entries of a
+    file's pieces go through one task, in order, which holds one number: up to ``GUESSES``
+    a piece, and in files whose true chain leaves these all that there can be, which may
+    be some for each message. Empty files hold no
     messages; a file that ends within a message, or with a bad length on the way, is an error.
     Spark's text reader finds the ranges, so what lies between two line feeds is held whole.
     """
@@ -178,16 +208,16 @@ def messages(spark: SparkSession, path: str, size: int = PIECE) -> DataFrame:
     each = pieces(spark, path, size)
     heads = each.select("file", (F.col("piece") - 1).alias("piece"), F.substring("content", 1, LONGEST).alias("ahead"))
     known = each.join(heads, ["file", "piece"], "left").select("file", "piece", "content", "total", "ahead")
-    kind = "file string, entry long, exit long"
-    able = known.mapInArrow(_exits(size), kind).select("file", F.col("exit").alias("entry")).union(each.select("file", F.lit(0).cast("long")))
-    able = written(able.distinct(), "entries")
-    grouped = able.groupBy("file", F.floor(F.col("entry") / size).alias("piece")).agg(F.collect_list("entry").alias("entries"))
-    edges = known.join(grouped, ["file", "piece"]).mapInArrow(_exits(size), kind)
-    edges = edges.join(each.where("piece = 0").select("file", "total"), "file")
-    true = edges.groupBy("file").applyInArrow(_follow(size), "file string, piece long, entry long")
-    later = Window.partitionBy("file").orderBy("piece")
+    start = each.select("file", F.lit(0).cast("long").alias("entry")).distinct()
+    able = lambda pieces, most: pieces.mapInArrow(_exits(size, most), EDGE).select("file", F.col("exit").alias("entry")).union(start)
+    true = _true_entries(known, able(known, GUESSES), size)
+    left = true.where(F.col("piece") == DEAD).select("file")
+    if not left.isEmpty():
+        rest = known.join(left, "file", "left_semi")
+        true = true.join(left, "file", "left_anti").unionByName(_true_entries(rest, able(rest, None), size))
+    later = Window.partitionBy("file").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     marked = each.select("file", "piece", "total").join(true, ["file", "piece"], "left")
-    following = F.first("entry", ignorenulls=True).over(later.rowsBetween(1, Window.unboundedFollowing))
+    following = F.last("entry", ignorenulls=True).over(later)
     marked = written(marked.select("file", "piece", "entry", F.coalesce(following, "total").alias("next")), "true-entries")
     found = written(each.select("file", "piece", "content").join(marked, ["file", "piece"]).mapInArrow(_messages(size), "file string, at long, end long, message binary"), "messages")
     crossing = found.where("end is not null").groupBy("file", "end").agg(F.min("at").alias("at"), F.expr("listagg(message) within group (order by at)").alias("message"))

@@ -66,3 +66,51 @@ def test_broken_files(spark, tmp_path):
         ranges.messages(spark, f"{tmp_path}/in", 10).collect()
     with pytest.raises(ValueError, match="bytes at least"):
         ranges.messages(spark, f"{tmp_path}/in", 5)
+
+
+def log_file(seed, n):
+    """Envelopes with times of today: their bytes look like the starts of long messages."""
+    rng = np.random.default_rng(seed)
+    made = [framing.encode_envelope(str(int(p)), i, 1_704_067_200_000 + int(t), b'{"k": %d}' % p) for i, (p, t) in enumerate(rng.integers(0, 10**9, (n, 2)))]
+    return b"".join(framing.varint(len(m)) + m for m in made)
+
+
+@pytest.mark.parametrize(("guesses", "passes"), [(8, 1), (1, 2)])
+def test_entries_followed_dont_grow_with_the_messages(spark, tmp_path, monkeypatch, guesses, passes):
+    """A few a piece are followed, and one is kept; a file that leaves these is followed through all."""
+    files = {"a": log_file(5, 4000), **({"b": sample(6, 60, 3000)} if passes > 1 else {})}
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    tables, written = [], ranges.written
+
+    def counted(df, name):
+        out = written(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ranges, "written", counted)
+    monkeypatch.setattr(ranges, "GUESSES", guesses, raising=False)
+    got = [(r.file.rpartition("/")[2], r.at, bytes(r.message)) for r in ranges.messages(spark, f"{tmp_path}/in", 512).collect()]
+    assert sorted(got) == sorted((name, at, m) for name, data in files.items() for at, m in plain(data))
+    entries, pieces = ([n for name, n in tables if name == which] for which in ("entries", "file-pieces"))
+    assert len(entries) == passes and max(entries) <= sum(pieces)
+
+
+def test_framing_ranges_writes_no_file_as_one_value(spark, tmp_path, monkeypatch):
+    """An entity of many events: its messages are written in bounded groups, and all come back."""
+    from eventlake.plans import catalogue
+
+    rows = spark.range(3000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "7L AS user_id", "'view' AS event_type", "1.5D AS value", "'{}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    longest, concatenated = [], framing.concatenated
+
+    def measured(*args):
+        out = concatenated(*args)
+        longest.append(out.selectExpr("max(octet_length(content))").first()[0])
+        return out
+
+    monkeypatch.setattr(framing, "concatenated", measured)
+    got = catalogue.QUERIES["framing_ranges"](spark, str(tmp_path)).collect()
+    assert sorted((r.persistence_id, r.sequence_nr) for r in got) == [("7", n) for n in range(1, 3001)]
+    assert max(longest) <= 500 * 40
